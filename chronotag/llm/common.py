@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -38,3 +41,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Catalyst copies a projected expression into the lambdas that use it, where
+    it would run again for every element; a lambda's own variable does not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

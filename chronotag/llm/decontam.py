@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotag.llm.common import staged
+from chronotag.llm.common import let, staged
 
 WINDOW = 10
 SHINGLE = 4
@@ -23,14 +23,19 @@ def words(text: Column) -> Column:
     """Words of the lower-cased (A-Z only) text: digits, a-z and everything
     beyond ASCII; an empty array for null."""
     spaced = F.trim(F.translate(text, string.ascii_uppercase + _SEPARATORS, string.ascii_lowercase + " " * len(_SEPARATORS)))
-    return F.when(F.length(spaced) > 0, F.split(spaced, " +")).otherwise(F.expr("cast(array() as array<string>)"))
+    none = F.expr("cast(array() as array<string>)")
+    return let(spaced, lambda t: F.when(F.length(t) > 0, F.split(t, " +")).otherwise(none))
 
 
 def _shingles(w: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` words, by position."""
-    n = F.size(w) - size
-    h = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(size)), F.lit(size)))
-    return F.when(n >= 0, h).otherwise(F.expr("cast(array() as array<bigint>)"))
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def hashed(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - size)
+        return F.when(F.size(w) >= size, F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)), F.lit(size)))).otherwise(none)
+
+    return let(w, hashed)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,8 +55,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Other columns are ignored.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    length = F.least(F.size("w"), F.lit(window))
-    wins = items.select("item_id", length.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.array_join(F.slice("w", i, length), " "))).alias("win"))
+
+    def windows(w: Column) -> Column:
+        length = F.least(F.size(w), F.lit(window))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.struct(length.alias("len"), F.array_join(F.slice(w, i, length), " ").alias("win")))
+
+    wins = items.select("item_id", F.inline(let(F.col("w"), windows)))
     wins = staged(wins.distinct(), "benchmark-windows")
     sizes = [r[0] for r in wins.select(F.least("len", F.lit(shingle))).distinct().collect()]  # at most `shingle` values
     split = F.split("win", " ")
@@ -67,11 +76,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     small = parts.count() <= BROADCAST_SHINGLES
 
     w = words(F.col(text_col))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), w.alias("w"))
-    read = read.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.concat(F.array(F.lit(PRESENT).cast("long")), *(_shingles(F.col("w"), s) for s in sizes[:1])).alias("hs"), *([F.col("w")] if len(sizes) > 1 else []))
-    posted = read.select("doc_id", "text_hash", "n_words", F.posexplode("hs").alias("pos", "h"))
-    for s in sizes[1:]:
-        posted = posted.union(read.select("doc_id", "text_hash", "n_words", F.posexplode(F.concat(F.array(F.lit(PRESENT + 1).cast("long")), _shingles(F.col("w"), s)))))
+    present = F.array(F.lit(PRESENT).cast("long"))
+    read = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("text_hash"),
+        let(w, lambda v: F.struct(F.size(v).alias("n"), F.array(*(F.concat(present, _shingles(v, s)) for s in sizes or [shingle])).alias("by_size"))).alias("r"),
+    )
+    one = F.get("r.by_size", F.lit(0))
+    posted = read.select("doc_id", "text_hash", F.col("r.n").alias("n_words"), F.posexplode(one).alias("pos", "h"))
+    for k in range(1, len(sizes)):  # items shorter than a shingle: a shingle of their own length
+        more = read.select("doc_id", "text_hash", F.col("r.n"), F.posexplode(F.get("r.by_size", F.lit(k))).alias("pos", "h"))
+        posted = posted.union(more.where(F.col("h") != PRESENT))
     posted = posted.withColumn("pos", F.col("pos") - 1)
     posted = staged(posted.join(F.broadcast(vocabulary) if small else vocabulary, "h"), "shingle-postings")
 
@@ -122,11 +137,15 @@ _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS l, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS win
-       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)),
-dw AS (SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS win
-       FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+dp AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+b AS (SELECT row_number() OVER () AS r, item_id, {_WORDS} AS w FROM benchmark),
+bp AS (SELECT r, item_id, least(len(w), {WINDOW}) AS l, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, l, win FROM (
+  SELECT item_id, l, string_agg(x, ' ') OVER f AS win, count(*) OVER f AS n FROM bp
+  WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND l - 1 FOLLOWING)) WHERE n = l),
+dw AS (SELECT r, l, i, win FROM (
+  SELECT r, l, i, string_agg(x, ' ') OVER f AS win, count(*) OVER f AS n FROM dp, (SELECT DISTINCT l FROM bw)
+  WINDOW f AS (PARTITION BY r, l ORDER BY i ROWS BETWEEN CURRENT ROW AND l - 1 FOLLOWING)) WHERE n = l),
 o AS (SELECT dw.r, dw.l, dw.i, bw.item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.win = bw.win),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM o) GROUP BY r),
 n AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM o) GROUP BY r)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotag.llm.common import staged
+from chronotag.llm.common import let, staged
 
 #: Base kinds in their fixed order.  Maximal runs need no test of length
 #: afterwards; the value of an assignment does, since a match that fails it
@@ -31,15 +31,14 @@ def _matches(text: Column, kind: str) -> Column:
     their lengths are the offsets.
     """
     pattern, number = PATTERNS.get(kind, OWNED), KINDS.index(kind)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else found
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("own"), value.alias("value"))
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in ((0, 1) if kind == "assign" else (0,))]
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found[0].alias("own"), *(v.alias("value") for v in found[1:]))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + F.length(p["gap"])
         end = start + F.length(p["own"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), p["value"].alias("value"))
+        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), p["value" if kind == "assign" else "own"].alias("value"))
         return F.when(p["own"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
     walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
@@ -48,7 +47,7 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def _clear_of(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+    return let(others, lambda all_: F.filter(spans, lambda s: ~F.exists(all_, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))))
 
 
 def find_candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None) -> DataFrame:
