@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotag.llm import chat, decontam, secrets, sharding
+from chronotag.llm import chat, decontam, packing, secrets, sharding
 from chronotag.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The tokenizer's file, which every machine has in the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(packing.TOKENIZER))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -26,5 +37,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_balanced_shards(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op7_secrets, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op7_secrets, op9_chat, op10_sharding)}
 ORACLES = {"op3_decontamination": decontam.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
