@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotag.llm import chat, decontam, packing, secrets, sharding
+from chronotag.llm import chat, decontam, langid, packing, secrets, sharding, toxicity
 from chronotag.llm.common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(packing.TOKENIZER))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -23,6 +28,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -37,5 +47,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_balanced_shards(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op7_secrets, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op6_language, op7_secrets, op9_chat, op10_sharding)}
 ORACLES = {"op3_decontamination": decontam.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
