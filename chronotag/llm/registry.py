@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotag.llm import ann, chat, decontam, langid, packing, secrets, sharding, toxicity
+from chronotag.llm import ann, chat, decontam, jaccard, langid, packing, secrets, sharding, toxicity
 from chronotag.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85, 100))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -52,5 +56,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_balanced_shards(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_ann, op6_language, op7_secrets, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_ann, op5_jaccard, op6_language, op7_secrets, op9_chat, op10_sharding)}
 ORACLES = {"op3_decontamination": decontam.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
