@@ -133,6 +133,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
 
 
+#: Contaminated documents that are broadcast, at most (two longs each).
+BROADCAST_DOCS = 1_000_000
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
+    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated")
+    gone = staged(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
+    return docs.join(gone, (F.xxhash64(text_col) == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+
+
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL = f"""

@@ -325,3 +325,14 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     classed = staged(members.join(joined, F.col("c") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "c")).alias("comp")), "jaccard-classed")
     least = classed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return classed.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, rule: Rule = Rule(5, 80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but for documents that links connect
+    with a smaller id; of rows with one id one stays."""
+    found = staged(jaccard_components(docs, rule, id_col, text_col), "jaccard-found")
+    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])) if twice else kept

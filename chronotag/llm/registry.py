@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotag.llm import ann, chat, decontam, jaccard, langid, packing, secrets, sharding, toxicity
+from chronotag.llm import ann, chat, decontam, jaccard, langid, packing, secrets, sharding, substrings, toxicity
 from chronotag.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), 50)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -56,5 +60,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_balanced_shards(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_ann, op5_jaccard, op6_language, op7_secrets, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_ann, op5_jaccard, op6_language, op7_secrets, op8_substrings, op9_chat, op10_sharding)}
 ORACLES = {"op3_decontamination": decontam.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}

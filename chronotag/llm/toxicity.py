@@ -228,3 +228,20 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
     z = sum((F.get("f", F.lit(i)) * w for i, w in enumerate(lexicon.model)), F.lit(0.0))
     score = 1 / (1 + F.exp(-z)) if lexicon.model else F.lit(0.0)
     return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`toxicity` predicts 0 for."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, model = shared.value.automaton(), np.array(shared.value.model)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            keep: list[bool] = []
+            for i in range(0, len(batch), 512):
+                for t in texts.slice(i, 512).to_pylist():
+                    keep.append(not len(model) or float(model @ np.array(features(*hits(automaton, t or "")))) < 0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
