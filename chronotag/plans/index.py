@@ -101,7 +101,7 @@ class TagIndex:
 
     def size_bytes(self) -> int:
         """The optimizer's estimate of the table's size."""
-        return int(self.table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(self.table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
     def write(self, path: str) -> None:
         """Store by day, each day in few files, so a range reads only its days."""
