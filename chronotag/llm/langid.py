@@ -54,19 +54,13 @@ class SuffixAutomaton:
     def phrases(self, text: str) -> int:
         """The number of longest-match phrases that parse ``text``; a character
         that is nowhere in the automaton's text is a phrase of its own."""
-        step, state, n, fresh = self.next, 0, 1, True
+        step, state, n = self.next, 0, 0
         for c in text:
             to = step[state].get(c)
-            if to is None:
-                n += not fresh
-                to = step[0].get(c)
-                if to is None:
-                    n += 1
-                    to = 0
-                    fresh = True
-                    state = 0
-                    continue
-            state, fresh = to, False
+            if to is None or not state:  # a phrase begins
+                n += 1
+                to = step[0].get(c, 0)
+            state = to
         return n
 
 

@@ -24,6 +24,8 @@ DIGITS = dict(zip("013457@", "oieasta", strict=True))
 DOLLAR = re.compile(r"(?<=[^\W\d_])\$(?=[^\W\d_])")
 SHORTEST, LONGEST = 4, 12
 LEAST_DOCS, LEAST_Z, LEAST_WEIGHT = 5, 5.0, 1.5
+#: What a pattern must weigh before the phrases that excuse it are known.
+FIRST_WEIGHT = 0.7
 SEGMENT = 1 << 20
 
 
@@ -157,7 +159,7 @@ def learn(sample: DataFrame, least_docs: int = LEAST_DOCS) -> Lexicon:
     weights: dict[str, float] = {}
     taken: set[str] = set()
     for weight, z, p in told:
-        if z < LEAST_Z or weight < LEAST_WEIGHT:
+        if z < LEAST_Z or weight < FIRST_WEIGHT:
             continue
         if any(p[:n] in weights for n in range(SHORTEST, len(p))) or p in taken:
             continue  # a stem of it counts already, or it is the stem of one that does
@@ -169,10 +171,29 @@ def learn(sample: DataFrame, least_docs: int = LEAST_DOCS) -> Lexicon:
         if _contrast(around_t.get(phrase, 0), c, n_t, n_c)[0] < -1 and phrase + " " not in weights:
             lexicon.exceptions.append(phrase)
     lexicon.exceptions.sort()
+    outside = _outside_exceptions(sample, lexicon)
+    weighed = {p: _contrast(outside.get((p, 1), 0), outside.get((p, 0), 0), n_t, n_c) for p in weights}
+    lexicon.weights = {p: w for p, (w, z) in weighed.items() if w >= LEAST_WEIGHT and z >= LEAST_Z}
     lexicon.model = _fit(sample, lexicon)
     return lexicon
 
 
+def _outside_exceptions(sample: DataFrame, lexicon: Lexicon) -> dict[tuple[str, int], int]:
+    """Documents per pattern and label in which the pattern counts."""
+    names = list(lexicon.weights)
+    numbered = Lexicon({p: float(i + 1) for i, p in enumerate(names)}, lexicon.exceptions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, seen = numbered.automaton(), Counter()
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update({(int(w) - 1, toxic) for _, w in hits(automaton, text)[0]})
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.int32()) for i in (0, 1)] + [pa.array(seen.values(), pa.int64())], names=["pattern", "toxic", "df"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "pattern int, toxic int, df long").groupBy("pattern", "toxic").agg(F.sum("df").alias("df")).collect()
+    return {(names[r.pattern], r.toxic): r.df for r in rows}
+
+
 def _fit(sample: DataFrame, lexicon: Lexicon) -> list[float]:
     """Logistic regression of the label on the features, by Newton steps."""
     rows = np.array(_features_of(sample, lexicon).select("f", "toxic").toPandas().apply(lambda r: [*r["f"], r["toxic"]], axis=1).tolist())
