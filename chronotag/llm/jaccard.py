@@ -20,9 +20,13 @@ SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
 #: Shared prefix tokens that a document may ask for, and the cost of verifying
 #: a candidate against that of reading a posting.
 MOST_MATCHES, VERIFY_COST = 8, 16
+#: Rounds of contraction before all pairs that are left are verified.
+ROUNDS = 3
 #: Document ids are broadcast up to this number (16 MB of longs).
 BROADCAST_IDS = 1_000_000
 CACHED_WORDS = 500_000
+#: Bits of a set's parity map, in words of 64.
+MAP_WORDS = 8
 _SPACE = re.compile(rb"[ \t-\r]")
 _SEGMENT = 1 << 22
 
@@ -68,6 +72,14 @@ def _class_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
+def _parity_map(tokens: np.ndarray) -> bytes:
+    """A bit for each hash value of 64 * MAP_WORDS: whether an odd number of the
+    set's tokens has it.  Maps of two sets differ in no more bits than the sets
+    in tokens."""
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 @dataclass(frozen=True)
 class Rule:
     """k-word shingles; sets link when den * intersection >= num * union."""
@@ -76,6 +88,10 @@ class Rule:
     num: int = 85
     den: int = 100
 
+    def most_apart(self, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
+        """In how many tokens linked sets of n and m may differ."""
+        return n + m - 2 * -(-(n + m) * self.num // (self.num + self.den))
+
     def least_overlap(self, n: int) -> int:
         """What a set of n shares at least with any set that it links with."""
         return -(-self.num * n // self.den)
@@ -129,8 +145,10 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, rule: Rule) -> tuple[np.ndarray, int]:
-    """The rarest tokens of a set that a link must share ``m`` of, and m.
+def _prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, rule: Rule) -> tuple[np.ndarray, int, int]:
+    """The rarest tokens of a set that a link must share ``m`` of, m, and how
+    often these tokens occur elsewhere on average: most for what copies were
+    made from, whose rarest tokens its copies have too.
 
     A prefix one token longer asks for one more match.  That reads more
     postings and leaves fewer candidates to verify; the cheapest m is taken,
@@ -145,7 +163,8 @@ def _prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, rule: Rule) ->
     m = np.arange(1, longest - (n - overlap) + 1)
     reads = others[n - overlap :] + m
     best = int(np.argmin(reads + VERIFY_COST * others[n - overlap :] / m)) + 1
-    return tokens[order[: n - overlap + best]], best
+    size = n - overlap + best
+    return tokens[order[:size]], best, min(int(f[order[:size]].mean()), 2**31 - 1)
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
@@ -156,19 +175,19 @@ def _postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
         noise = 3 * float(counts.mean()) if counts.size else 0.0
         for batch in batches:
             for i in range(0, len(batch), 256):
-                seen, out, cs, ns, ms = set(), [], [], [], []
+                seen, out, cs, ns, ms, ws = set(), [], [], [], [], []
                 for text in batch.column(1).slice(i, 256).to_pylist():
                     tokens = shingle_set(text, rule.k)
                     if not len(tokens) or (c := _class_of(tokens)) in seen:
                         continue
                     seen.add(c)
-                    prefix, m = _prefix(tokens, counts, noise, rule)
-                    out.append(prefix.view(np.int64)), cs.append(c), ns.append(len(tokens)), ms.append(m)
+                    prefix, m, w = _prefix(tokens, counts, noise, rule)
+                    out.append(prefix.view(np.int64)), cs.append(c), ns.append(len(tokens)), ms.append(m), ws.append(w)
                 if out:
                     sizes = [len(x) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *(pa.array(np.repeat(np.array(v, t), sizes)) for v, t in ((cs, np.int64), (ns, np.int32), (ms, np.int32)))], names=["token", "c", "n", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *(pa.array(np.repeat(np.array(v, t), sizes)) for v, t in ((cs, np.int64), (ns, np.int32), (ms, np.int32), (ws, np.int32)))], names=["token", "c", "n", "m", "w"])
 
-    return docs.mapInArrow(run, "token long, c long, n int, m int")
+    return docs.mapInArrow(run, "token long, c long, n int, m int, w int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -190,33 +209,58 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
 
 
 def _shared_only(postings: DataFrame) -> DataFrame:
-    """Postings whose token another class has too, each with the class before
-    it and the first one of its token."""
+    """Postings whose token another class has too, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches):
             token, c = x["token"], x["c"]
             again = np.concatenate([[False], (token[1:] == token[:-1]) & (c[1:] == c[:-1])])
             x = {k: v[~again] for k, v in x.items()}  # a class met in several tasks
-            token, c, n = x["token"], x["c"], x["n"]
+            new = np.concatenate([[True], x["token"][1:] != x["token"][:-1]])
+            keep = ~(new & np.concatenate([new[1:], [True]]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[k][keep]) for k in x], names=list(x))
+
+    dealt = postings.repartition("token").sortWithinPartitions("token", "c")
+    return dealt.mapInArrow(run, "token long, c long, n int, m int, w int")
+
+
+def _promising(postings: DataFrame, rule: Rule) -> DataFrame:
+    """For each class the pair (a, b) of it and one of another component that
+    shares most tokens with it, of those that it meets first.
+
+    A token's classes are sorted by how common their rarest tokens are, so the
+    first is most likely what the others were copied from; a class meets that
+    one and the last one before it of another component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _runs(batches):
+            token, comp, n, c = (x[k] for k in ("token", "comp", "n", "c"))
+            at = np.arange(len(token))
             new = np.concatenate([[True], token[1:] != token[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            single = new & np.concatenate([new[1:], [True]])
-            keep = ~single
-            before = np.where(new, np.arange(len(token)), np.arange(len(token)) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (token, c, n, x["m"], c[before], n[before], c[start], n[start])], names=["token", "c", "n", "m", "c1", "n1", "c2", "n2"])
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            stretch = np.maximum.accumulate(np.where(new | np.concatenate([[True], comp[1:] != comp[:-1]]), at, 0))
+            i = np.concatenate([at, at])
+            j = np.concatenate([start, np.maximum(stretch - 1, start)])
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * rule.den >= np.maximum(n[i], n[j]) * rule.num)
+            i, j = i[ok], j[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["c", "a", "b"])
 
-    dealt = postings.repartition("token").sortWithinPartitions("token", "n", "c")
-    return dealt.mapInArrow(run, "token long, c long, n int, m int, c1 long, n1 int, c2 long, n2 int")
+    dealt = postings.repartition("token").sortWithinPartitions("token", F.desc("w"), "n", "c")
+    met = dealt.mapInArrow(run, "c long, a long, b long").groupBy("c", "a", "b").agg(F.count("*").alias("s"))
+    return met.groupBy("c").agg(F.max(F.struct("s", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
 
 
 def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of classes that share a token, could link by size, and are not
-    known to be connected; (token, c, n, m, comp) come sorted by token."""
+    """All pairs of classes that share a token, could link by size and parity
+    map, and are not known to be connected.
+
+    postings is (token, c, n, m, comp, map)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches):
             token, comp, n, c, m = (x[k] for k in ("token", "comp", "n", "c", "m"))
+            maps = np.frombuffer(b"".join(x["map"]), np.uint64).reshape(len(token), MAP_WORDS)
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             out = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -225,6 +269,8 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
                 for i in range(lo, hi - 1):  # rows are sorted by n, so partners are a stretch
                     to = i + 1 + int(np.searchsorted(n[i + 1 : hi] * rule.num, n[i] * rule.den, "right"))
                     j = np.flatnonzero(comp[i + 1 : to] != comp[i]) + i + 1
+                    apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                    j = j[apart <= rule.most_apart(n[j].astype(np.int64), int(n[i]))]
                     if len(j):
                         out.append((np.full(len(j), i), j))
                 if sum(len(o[0]) for o in out) > 100_000:
@@ -259,7 +305,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(c, tokens) of the wanted classes, from one document of each."""
+    """(c, tokens, map) of the wanted classes, from one document of each."""
     one = staged(members.join(wanted.distinct(), "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "jaccard-wanted")
     ids = one.select("doc_id").distinct()
     ids = F.broadcast(ids) if one.count() <= BROADCAST_IDS else ids
@@ -269,12 +315,12 @@ def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, rule: Rule) ->
             for i in range(0, len(batch), 256):
                 sets = [shingle_set(t, rule.k) for t in batch.column(1).slice(i, 256).to_pylist()]
                 part = batch.column(0).slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part, pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "c", "tokens"])
+                yield pa.RecordBatch.from_arrays([part, pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parity_map(s) for s in sets], pa.binary())], names=["doc_id", "c", "tokens", "map"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, c long, tokens binary")
+    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, c long, tokens binary, map binary")
     # an id may stand for several texts; only the wanted one's set counts, once
-    return made.join(one, ["doc_id", "c"], "left_semi").dropDuplicates(["c"]).select("c", "tokens")
+    return made.join(one, ["doc_id", "c"], "left_semi").dropDuplicates(["c"]).select("c", "tokens", "map")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,11 +335,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     2. Every class posts its rarest tokens: as many as any link must share one
        of, or more with correspondingly more matches asked for where the sketch
        promises fewer candidates.
-    3. Each class is first held against its neighbour and the first class of the
-       token it shares most with; verified links are contracted, so a large
-       group of near copies costs a few comparisons a member.
+    3. In a few rounds each class is held against one other that shares most
+       tokens with it, first of all what it was probably copied from; verified
+       links are contracted, so a large group of near copies costs a few
+       comparisons a member.
     4. Pairs that still lie in different components, share enough prefix tokens
-       for either side's prefix and could link by size are all verified.
+       for either side's prefix, and are not ruled out by size or by a small map
+       of both sets, are all verified.
 
     Nothing is capped: step 4 alone would find every connection, step 3 only
     spares it pairs whose documents are known to be connected.  Repeated rows
@@ -305,20 +353,24 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     members = profile.where(F.col("row").isNull()).select("doc_id", "c", "n")
     postings = staged(_shared_only(_postings(own, _sketch(profile), rule)), "jaccard-postings")
 
-    able = lambda a, b: (F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num)
-    near = [postings.where((F.col("c") != F.col(f"c{i}")) & able("n", f"n{i}")).select(F.least("c", f"c{i}").alias("a"), F.greatest("c", f"c{i}").alias("b"), "c") for i in (1, 2)]
-    counted = near[0].union(near[1]).groupBy("c", "a", "b").agg(F.count("*").alias("s"))
-    first = staged(counted.groupBy("c").agg(F.max(F.struct("s", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "jaccard-first")
-    ends = first.select(F.col("a").alias("c")).union(first.select("b"))
-    links = staged(_verify(first, staged(_sets(own, members, ends, rule), "jaccard-sets"), rule), "jaccard-links")
-    known = components(links, "jaccard-known")
-
-    posted = postings.select("token", "c", "n", "m").join(known, F.col("c") == F.col("node"), "left")
-    pairs = _crossing(posted.select("token", "c", "n", "m", F.coalesce("component", "c").alias("comp")), rule)
+    sets = staged(_sets(own, members, postings.select("c"), rule), "jaccard-sets")
+    tried = links = known = None
+    posted = postings.withColumn("comp", F.col("c"))
+    for _ in range(ROUNDS):
+        pairs = _promising(posted, rule)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "jaccard-promising")
+        found = staged(_verify(pairs, sets, rule), "jaccard-links")
+        tried = tried.union(pairs) if tried else pairs
+        if links and not found.limit(1).count():
+            break
+        links = links.union(found) if links else found
+        known = components(links, "jaccard-known")
+        posted = postings.join(known, F.col("c") == F.col("node"), "left").select("token", "c", "n", "m", "w", F.coalesce("component", "c").alias("comp"))
+
+    pairs = _crossing(posted.join(sets.select("c", "map"), "c"), rule)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("s"), F.first("m").alias("m")).where(F.col("s") >= F.col("m")).select("a", "b")
-    pairs = staged(pairs.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
-    more = staged(_verify(pairs, staged(_sets(own, members, ends, rule), "jaccard-sets"), rule), "jaccard-more")
+    pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = staged(_verify(pairs, sets, rule), "jaccard-more")
     # every found link, and every class as it was contracted
     joined = components(more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-components")
 

@@ -20,9 +20,9 @@ LENGTH = 50
 GRAM = 16
 #: Segment bytes that a shard is meant to hold, the largest number of shards,
 #: and the text and suffix bytes that are worked on at a time.
-SHARD_BYTES, MOST_SHARDS = 24 << 20, 4096
-TEXT_BYTES, SUFFIX_BYTES = 4 << 20, 4 << 20
-FLUSH = 1 << 18
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 4096
+TEXT_BYTES, SUFFIX_BYTES = 1 << 20, 3 << 19
+FLUSH = 1 << 16
 #: Documents whose spans are broadcast, at most, and bytes of their spans.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 

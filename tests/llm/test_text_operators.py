@@ -237,12 +237,12 @@ def test_longer_prefixes_ask_for_more_matches():
 
     tokens = np.arange(1, 101, dtype=np.uint64)
     rule = jaccard.Rule()
-    rare, m = jaccard._prefix(tokens, np.ones(jaccard.SKETCH, np.uint32), 0, rule)
-    assert (len(rare), m) == (16, 1)
+    rare, m, w = jaccard._prefix(tokens, np.ones(jaccard.SKETCH, np.uint32), 0, rule)
+    assert (len(rare), m, w) == (16, 1, 1)
     common = np.ones(jaccard.SKETCH, np.uint32)
     common[:13] = 1000
     common[13:] = 900
-    longer, m = jaccard._prefix(tokens, common, 0, rule)
+    longer, m, _ = jaccard._prefix(tokens, common, 0, rule)
     assert m > 1 and len(longer) == 15 + m
 
 
