@@ -20,9 +20,9 @@ LENGTH = 50
 GRAM = 16
 #: Segment bytes that a shard is meant to hold, the largest number of shards,
 #: and the text and suffix bytes that are worked on at a time.
-SHARD_BYTES, MOST_SHARDS = 8 << 20, 4096
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
 TEXT_BYTES, SUFFIX_BYTES = 1 << 20, 3 << 19
-FLUSH = 1 << 16
+FLUSH = 1 << 17
 #: Documents whose spans are broadcast, at most, and bytes of their spans.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
@@ -54,7 +54,8 @@ class _Blobs:
         self.pack = zstandard.ZstdCompressor(level=3).compress
 
     def add(self, key, doc, start, length, data) -> Iterator[tuple[int, bytes]]:
-        shard = (key >> np.uint64(20)) % np.uint64(self.shards)
+        shard = (key >> np.uint64(32)) % np.uint64(self.shards)
+        key = key.astype(np.uint32) >> np.uint32(8)  # keys that fall together only make a larger group
         order = np.argsort(shard, kind="stable")
         key, doc, start, length, shard = key[order], doc[order], start[order], length[order], shard[order]
         first = np.cumsum(length) - length
@@ -73,18 +74,30 @@ class _Blobs:
     def flush(self, s: int) -> bytes:
         parts = self.parts.pop(s)
         del self.size[s]
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-        return len(columns[0]).to_bytes(8, "little") + self.pack(b"".join(c.tobytes() for c in columns))
+        return _packed([np.concatenate([p[i] for p in parts]) for i in range(5)], self.pack)
+
+
+def _planes(column: np.ndarray) -> bytes:
+    """First all numbers' first bytes, then all second ones: they compress well."""
+    return np.ascontiguousarray(column.reshape(-1, 1).view(np.uint8).reshape(-1, column.itemsize).T).tobytes()
+
+
+def _packed(columns: list[np.ndarray], pack) -> bytes:
+    key, doc, start, length, content = columns
+    numbers = (key.astype(np.uint32), doc[:, 0], doc[:, 1], start.astype(np.int64), length.astype(np.int32))
+    return len(key).to_bytes(8, "little") + pack(b"".join(_planes(np.ascontiguousarray(c)) for c in numbers) + np.ascontiguousarray(content).tobytes())
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
+    """key, doc (id and text hash), start, length, content."""
     n = int.from_bytes(blob[:8], "little")
-    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
-    key = np.frombuffer(raw, np.uint64, n)
-    doc = np.frombuffer(raw, np.int64, 2 * n, 8 * n).reshape(n, 2)
-    start = np.frombuffer(raw, np.int64, n, 24 * n)
-    length = np.frombuffer(raw, np.int32, n, 32 * n)
-    return [key, doc, start, length, np.frombuffer(raw, np.uint8, offset=36 * n)]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    out, at = [], 0
+    for kind in (np.uint32, np.int64, np.int64, np.int64, np.int32):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return [out[0], np.stack(out[1:3], axis=1), out[3], out[4], raw[at:]]
 
 
 def _segments(docs: DataFrame, shards: int, length: int) -> DataFrame:
@@ -232,16 +245,16 @@ def _select(part: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
 def _deal(parts: list, files: list) -> None:
     pack = zstandard.ZstdCompressor(level=1).compress
     for part in parts:
-        to = (part[0] >> np.uint64(4)) % np.uint64(len(files))
+        to = part[0] % np.uint32(len(files))
         for i in np.unique(to):
             own = _select(part, np.flatnonzero(to == i))
-            blob = len(own[0]).to_bytes(8, "little") + pack(b"".join(np.ascontiguousarray(c).tobytes() for c in own))
+            blob = _packed(own, pack)
             files[int(i)].write(len(blob).to_bytes(8, "little") + blob)
 
 
 def _split(parts: list) -> Iterator[list[list[np.ndarray]]]:
     ways = max(1, -(-sum(len(p[4]) for p in parts) // SUFFIX_BYTES))
-    to = [(p[0] >> np.uint64(10)) % np.uint64(ways) for p in parts]
+    to = [(p[0] >> np.uint32(8)) % np.uint32(ways) for p in parts]
     for i in range(ways):
         own = [_select(p, np.flatnonzero(t == i)) for p, t in zip(parts, to, strict=True)]
         if any(len(o[0]) for o in own):
@@ -324,7 +337,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     One row for each input row; an empty table gives an empty result; other
     columns are ignored.  Ids are whole numbers.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text_hash"), F.col(text_col).alias("text"))
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    # only where ids are repeated must texts of one id be told apart
+    text_hash = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, min(MOST_SHARDS, 4 * total // SHARD_BYTES))
     spans = staged(_merged(_found(_segments(own.select("doc_id", "text_hash", F.encode("text", "UTF-8").alias("text")), shards, length), shards, length)), "repeat-spans")
