@@ -111,6 +111,27 @@ def string_dictionary(points: DataFrame) -> DataFrame:
     return numbered(strings, "string_id", "string")
 
 
+def hashed_postings(points: DataFrame, resolution_ns: int, prebucketed: bool = False) -> DataFrame:
+    """(bucket_ns, tagset_id) with a tag set's 64-bit hash as its id.
+
+    Ids need no dictionary first, stay the same across appends and streams, and
+    two longs are all that is shuffled.
+    """
+    at = F.col("ts_ns") if prebucketed else bucket(F.col("ts_ns"), resolution_ns)
+    return points.select(at.alias("bucket_ns"), F.xxhash64("tags").alias("tagset_id")).distinct()
+
+
+def hashed_dictionary(points: DataFrame) -> DataFrame:
+    """(tagset_id, tags) for hashed ids; of tag sets whose hashes collide all
+    stay, so that :func:`collisions` shows them."""
+    return points.select(F.xxhash64("tags").alias("tagset_id"), "tags").distinct()
+
+
+def collisions(dictionary: DataFrame) -> DataFrame:
+    """Ids that stand for several tag sets; use dense ids if there are any."""
+    return dictionary.groupBy("tagset_id").count().where("count > 1")
+
+
 def encode(points: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Points with tagset_id for tags."""
     return points.join(dictionary, "tags").drop("tags")

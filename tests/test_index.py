@@ -182,3 +182,12 @@ def test_range_filter_reaches_the_scan(spark):
 def test_results_diff(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int")
     assert sorted(map(tuple, stats.results_diff(a, b).collect())) == [(1, "a"), (2, "a"), (3, "b")]
+
+
+def test_hashed_ids(spark):
+    p = make(spark, [(1, "a"), (2, "a"), (12, "b"), (13, "b")])
+    ids = build.hashed_dictionary(p)
+    assert ids.count() == 2 and build.collisions(ids).count() == 0
+    back = build.hashed_postings(p, 10).join(ids, "tagset_id")
+    assert sorted((r.bucket_ns, r.tags[0].value) for r in back.collect()) == [(0, "a"), (10, "b")]
+    assert build.collisions(ids.union(ids.select("tagset_id", "tags").limit(1))).count() == 1
