@@ -98,28 +98,29 @@ class Rule:
 
 
 def _profile(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Per document (doc_id, c, n), and rows of sketch counts (row, counts)."""
+    """Per document (doc_id, c, n, map), and rows of sketch counts (row, counts)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, c long, n int, row int, counts binary"
+    schema = f"doc_id {kind}, c long, n int, map binary, row int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, any_ = np.zeros(SKETCH, np.uint32), False
         for batch in batches:
-            cs, ns = [], []
+            cs, ns, maps = [], [], []
             for i in range(0, len(batch), 512):
                 sets = [shingle_set(t, rule.k) for t in batch.column(1).slice(i, 512).to_pylist()]
                 cs += map(_class_of, sets)
                 ns += map(len, sets)
+                maps += map(_parity_map, sets)
                 if any(ns[-len(sets) :]):
                     any_ = True
                     np.add(sketch, np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=sketch)
             none = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=["doc_id", "c", "n", "row", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), pa.array(maps, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=["doc_id", "c", "n", "map", "row", "counts"])
         if any_:
             rows = SKETCH // SKETCH_ROW
             data = [r.tobytes() for r in sketch.reshape(rows, -1)]
             ids = pa.nulls(rows, docs_type)
-            yield pa.RecordBatch.from_arrays([ids, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.array(range(rows), pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "c", "n", "row", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "c", "n", "map", "row", "counts"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -305,7 +306,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(c, tokens, map) of the wanted classes, from one document of each."""
+    """(c, tokens) of the wanted classes, from one document of each."""
     one = staged(members.join(wanted.distinct(), "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "jaccard-wanted")
     ids = one.select("doc_id").distinct()
     ids = F.broadcast(ids) if one.count() <= BROADCAST_IDS else ids
@@ -315,12 +316,29 @@ def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, rule: Rule) ->
             for i in range(0, len(batch), 256):
                 sets = [shingle_set(t, rule.k) for t in batch.column(1).slice(i, 256).to_pylist()]
                 part = batch.column(0).slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part, pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parity_map(s) for s in sets], pa.binary())], names=["doc_id", "c", "tokens", "map"])
+                yield pa.RecordBatch.from_arrays([part, pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "c", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, c long, tokens binary, map binary")
-    # an id may stand for several texts; only the wanted one's set counts, once
-    return made.join(one, ["doc_id", "c"], "left_semi").dropDuplicates(["c"]).select("c", "tokens", "map")
+    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, c long, tokens binary")
+    if members.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # an id may stand for several texts; only the wanted one's set counts, once
+        made = made.join(one, ["doc_id", "c"], "left_semi").dropDuplicates(["c"])
+    return made.select("c", "tokens")
+
+
+def _alike(pairs: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that the parity maps do not rule out; maps is (c, n, map)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), MAP_WORDS) for k in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in ("n", "m"))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= rule.most_apart(n, m)))
+
+    x = maps.select(F.col("c").alias("a"), F.col("map").alias("x"), "n")
+    y = maps.select(F.col("c").alias("b"), F.col("map").alias("y"), F.col("n").alias("m"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +347,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     Words are split at space and 09-0D, A-Z lower-cased; a text of fewer than k
     words is one shingle; one without words, or null, has none and is linked
     with nothing.  component_id is the smallest doc_id that links reach (the own
-    one without links); null ids are passed over unless a component has no other.
+    one without links); null ids are passed over, and a set that only rows
+    without an id have is linked with its equals alone.
 
     1. Equal sets are one class.  A sketch of fixed size counts shingles.
     2. Every class posts its rarest tokens: as many as any link must share one
@@ -353,13 +372,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     members = profile.where(F.col("row").isNull()).select("doc_id", "c", "n")
     postings = staged(_shared_only(_postings(own, _sketch(profile), rule)), "jaccard-postings")
 
-    sets = staged(_sets(own, members, postings.select("c"), rule), "jaccard-sets")
+    maps = staged(profile.where(F.col("row").isNull()).groupBy("c").agg(F.first("n").alias("n"), F.first("map").alias("map")), "jaccard-maps")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
+        return staged(_verify(pairs, staged(_sets(own, members, ends, rule), "jaccard-sets"), rule), "jaccard-links")
+
     tried = links = known = None
     posted = postings.withColumn("comp", F.col("c"))
     for _ in range(ROUNDS):
         pairs = _promising(posted, rule)
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "jaccard-promising")
-        found = staged(_verify(pairs, sets, rule), "jaccard-links")
+        found = verified(staged(_alike(pairs, maps, rule), "jaccard-alike"))
         tried = tried.union(pairs) if tried else pairs
         if links and not found.limit(1).count():
             break
@@ -367,10 +391,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
         known = components(links, "jaccard-known")
         posted = postings.join(known, F.col("c") == F.col("node"), "left").select("token", "c", "n", "m", "w", F.coalesce("component", "c").alias("comp"))
 
-    pairs = _crossing(posted.join(sets.select("c", "map"), "c"), rule)
+    pairs = _crossing(posted.join(maps.select("c", "map"), "c"), rule)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("s"), F.first("m").alias("m")).where(F.col("s") >= F.col("m")).select("a", "b")
     pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = staged(_verify(pairs, sets, rule), "jaccard-more")
+    more = verified(pairs)
     # every found link, and every class as it was contracted
     joined = components(more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-components")
 
