@@ -9,16 +9,26 @@ from pyspark.sql import functions as F
 START, STEP, POINTS, TAG_COLUMNS = 1_704_067_200_000_000_000, 15 * 10**9, 5760, 8
 
 
+def prime_factors(n: int) -> list[int]:
+    """Largest first."""
+    out, p = [], 2
+    while p * p <= n:
+        while n % p == 0:
+            out.append(p)
+            n //= p
+        p += 1
+    return sorted(out + [n] * (n > 1), reverse=True)
+
+
 def factorize(total: int, columns: int = TAG_COLUMNS) -> list[int]:
-    """Values per column with a product of ``total``, or below it where no
-    divisor is near the even share of what is left (101 over 8 gives 100)."""
-    left, out = max(1, total), []
-    for to_fill in range(columns, 1, -1):
-        even = max(2, round(left ** (1 / to_fill)))
-        divisors = (d for d in (even, *range(even + 5, 1, -1)) if d <= left and left % d == 0)
-        out.append(next(divisors, even) if left > 1 else 1)
-        left //= out[-1]
-    return [*out, left]
+    """Values per column, largest first, with a product of exactly ``total``.
+
+    Each prime factor goes to the column that has the fewest values so far.
+    """
+    out = [1] * columns
+    for p in prime_factors(max(1, total)):
+        out[out.index(min(out))] *= p
+    return sorted(out, reverse=True)
 
 
 def tag_value(i: Column) -> Column:
@@ -37,15 +47,22 @@ def tag_columns(index: Column, cards: list[int]) -> list[Column]:
     return out[::-1]
 
 
+#: Rows that a slice of generated points holds.
+SLICE_ROWS = 1_000_000
+
+
 def generate_points(spark: SparkSession, cardinality: int, points: int = POINTS, step_ns: int = STEP, start_ns: int = START, columns: int = TAG_COLUMNS) -> DataFrame:
-    """(time, t0...): every tag set at every step."""
-    cards = factorize(cardinality, columns)
-    n = 1
-    for c in cards:
-        n *= c
-    rows = spark.range(n * points)
-    return rows.select((F.lit(start_ns) + F.floor(F.col("id") / n).cast("long") * step_ns).alias("time"), *tag_columns(F.col("id") % n, cards))
+    """(time, t0...): every tag set at every step, in slices of bounded size."""
+    cards, rows = factorize(cardinality, columns), cardinality * points
+    slices = max(spark.sparkContext.defaultParallelism, -(-rows // SLICE_ROWS))
+    made = spark.range(0, rows, numPartitions=slices)
+    return made.select((F.lit(start_ns) + F.floor(F.col("id") / cardinality).cast("long") * step_ns).alias("time"), *tag_columns(F.col("id") % cardinality, cards))
 
 
 def generate_prebucketed(spark: SparkSession, cardinality: int, buckets: int = 24, resolution_ns: int = 3600 * 10**9) -> DataFrame:
     return generate_points(spark, cardinality, buckets, resolution_ns)
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Generated points as Parquet, a file for each slice."""
+    points.write.mode("overwrite").parquet(path)

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,10 +83,10 @@ def test_line_protocol(spark):
 
 def test_generator(spark):
     assert generator.factorize(8) == [2, 2, 2, 1, 1, 1, 1, 1]
-    product = 1
-    for c in generator.factorize(101):
-        product *= c
-    assert product == 100
+    for total in (1, 2, 60, 101, 1000, 1_000_000, 999_983):
+        for columns in (1, 3, 8):
+            assert math.prod(generator.factorize(total, columns)) == total and len(generator.factorize(total, columns)) == columns
+    assert generator.factorize(60, 3) == [5, 4, 3] and max(generator.factorize(1_000_000)) == 8
     name = lambda i: spark.range(1).select(generator.tag_value(F.lit(i).cast("long"))).first()[0]
     assert [name(i) for i in (0, 25, 26, 51, 52, 702)] == ["a", "z", "aa", "az", "ba", "t702"]
     third = spark.range(1, 3).select(*generator.tag_columns(F.col("id"), [2, 2, 2, 1, 1, 1, 1, 1])).collect()

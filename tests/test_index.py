@@ -184,10 +184,48 @@ def test_results_diff(spark):
     assert sorted(map(tuple, stats.results_diff(a, b).collect())) == [(1, "a"), (2, "a"), (3, "b")]
 
 
-def test_hashed_ids(spark):
-    p = make(spark, [(1, "a"), (2, "a"), (12, "b"), (13, "b")])
-    ids = build.hashed_dictionary(p)
+def test_hashed_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (12, "b", "x"), (13, "b", "x"), (14, "a", None)], "at long, host string, zone string")
+    columns = ["zone", "host"]
+    ids = build.hashed_dictionary(rows, "at", columns)
     assert ids.count() == 2 and build.collisions(ids).count() == 0
-    back = build.hashed_postings(p, 10).join(ids, "tagset_id")
-    assert sorted((r.bucket_ns, r.tags[0].value) for r in back.collect()) == [(0, "a"), (10, "b")]
+    back = build.hashed_postings(rows, "at", columns, 10).join(ids, "tagset_id")
+    assert sorted((r.bucket_ns, [tuple(p) for p in r.tags]) for r in back.collect()) == [(0, [("host", "a"), ("zone", "")]), (10, [("host", "a"), ("zone", "")]), (10, [("host", "b"), ("zone", "x")])]
     assert build.collisions(ids.union(ids.select("tagset_id", "tags").limit(1))).count() == 1
+    monkeypatch.setattr(build, "DIRECT_ROWS", 1)
+    for few in (0, 10):
+        monkeypatch.setattr(build, "FIRST_TIMES", few)
+        assert sorted(map(tuple, build.hashed_dictionary(rows, "at", columns).collect())) == sorted(map(tuple, ids.collect()))
+
+
+def test_ranges_do_not_show_in_unions(spark):
+    rng = random.Random(4)
+    rows = [(s, s + rng.choice([0, 1, 2, 9, 60]), rng.choice(["u", "v", None])) for s in (rng.randrange(-40, 200) for _ in range(250))]
+    df = spark.createDataFrame(rows, "start_ns long, stop_ns long, tags string")
+    want = []
+    for v in ("u", "v", None):
+        own = []
+        for s, e in sorted((s, e) for s, e, x in rows if x == v):
+            if own and s <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], e)
+            else:
+                own.append([s, e])
+        want += [(s, e, v) for s, e in own]
+    for width in (1, 7, 50, 10**6):
+        assert sorted(map(tuple, build.merge_intervals(df, width=width).collect()), key=str) == sorted(want, key=str), width
+    p = make(spark, [(rng.randrange(0, 120), rng.choice("ab")) for _ in range(150)])
+    want = flat(build.islands(p, width=10**6))
+    assert all(flat(build.islands(p, width=w)) == want for w in (1, 3, 40)) and build.islands(p.limit(0)).count() == 0
+
+
+def test_one_hot_tag_set_is_dealt_by_time(spark, monkeypatch):
+    monkeypatch.setattr(build, "RANGE_ROWS", 500)
+    hot = spark.range(0, 20_000).select((F.col("id") * 2).alias("ts_ns"), F.expr("array(named_struct('key', 'host', 'value', 'a'))").alias("tags"))
+    assert build._range_width(hot, "ts_ns") == 1000
+    assert build.islands(hot).count() == 20_000 and build.neighbour_runs(hot).count() == 20_000
+
+
+def test_the_last_instant_overflows(spark):
+    assert build.unmerged(make(spark, [(build.LAST_NS - 1, "a")])).first().stop_ns == build.LAST_NS
+    with pytest.raises(Exception, match="last instant"):
+        build.unmerged(make(spark, [(build.LAST_NS, "a")])).collect()
