@@ -50,3 +50,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     it would run again for every element; a lambda's own variable does not.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """``name``, with as many underscores before it as make it clash with no
+    column of the tables, whatever the case."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
+
+
+#: A key is hot from this share of all rows on, so there are at most as many hot keys.
+HOT_SHARES = 512
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", name: str = "hot") -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``, which ``side`` has once at most.
+
+    Keys that hold more than 1/HOT_SHARES of the rows, null among them, are
+    joined by broadcasting their few rows of ``side``; only the others are
+    shuffled, so no task gets a hot key's rows.  ``how`` is inner or left.
+    """
+    counts = staged(rows.groupBy(key).agg(F.count("*").alias("n")), f"{name}-keys")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r[0] for r in counts.where(F.col("n") * HOT_SHARES > total).select(key).collect()]  # at most HOT_SHARES
+    if not hot:
+        return rows.join(side, key, how)
+    named = [h for h in hot if h is not None]
+    is_hot = F.coalesce(F.col(key).isin(named), F.lit(False)) if named else F.lit(False)
+    warm = rows.where(is_hot | F.col(key).isNull()).join(F.broadcast(side.where(is_hot)), key, how)
+    return warm.unionByName(rows.where(~is_hot & F.col(key).isNotNull()).join(side, key, how))

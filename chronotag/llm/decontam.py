@@ -7,13 +7,15 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotag.llm.common import let, staged
+from chronotag.llm.common import fresh, let, staged
 
 WINDOW = 10
 SHINGLE = 4
 #: Benchmark shingles (two longs each) are broadcast up to this number, about
 #: 64 MB of hash table; a larger benchmark is joined by shuffling.
 BROADCAST_SHINGLES = 1_000_000
+#: Copies of a larger benchmark's shingles, so that a common one meets documents in many tasks.
+SALTS = 32
 #: The hash that stands for "this document exists"; it joins like a shingle.
 PRESENT = -1
 _SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
@@ -50,11 +52,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     bound) and are verified against all shingles of the window.
 
     Null texts and texts without words give n_words 0.  Items without words
-    have no window; items are told apart by item_id, null being an id.  Repeated
-    document rows are reported alike; empty tables give n_hit 0 or no row.
-    Other columns are ignored.
+    have no window; items are told apart by item_id, null being an id, which is
+    written as the empty text.  Whole texts of any length are read, as one array
+    of words each.  Repeated document rows are reported alike; an empty
+    benchmark gives n_hit 0, an empty table of documents an empty result; other
+    columns, whatever their names, are ignored.  Shingles are compared by 64-bit
+    hashes.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
 
     def windows(w: Column) -> Column:
         length = F.least(F.size(w), F.lit(window))
@@ -77,18 +82,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     w = words(F.col(text_col))
     present = F.array(F.lit(PRESENT).cast("long"))
+    # one array of all shingles, one size after the other, behind the document's own mark
     read = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(text_col).alias("text_hash"),
-        let(w, lambda v: F.struct(F.size(v).alias("n"), F.array(*(F.concat(present, _shingles(v, s)) for s in sizes or [shingle])).alias("by_size"))).alias("r"),
+        let(w, lambda v: F.struct(F.size(v).alias("n"), F.concat(present, *(_shingles(v, s) for s in sizes)).alias("all"))).alias("r"),
     )
-    one = F.get("r.by_size", F.lit(0))
-    posted = read.select("doc_id", "text_hash", F.col("r.n").alias("n_words"), F.posexplode(one).alias("pos", "h"))
-    for k in range(1, len(sizes)):  # items shorter than a shingle: a shingle of their own length
-        more = read.select("doc_id", "text_hash", F.col("r.n"), F.posexplode(F.get("r.by_size", F.lit(k))).alias("pos", "h"))
-        posted = posted.union(more.where(F.col("h") != PRESENT))
-    posted = posted.withColumn("pos", F.col("pos") - 1)
-    posted = staged(posted.join(F.broadcast(vocabulary) if small else vocabulary, "h"), "shingle-postings")
+    posted = read.select("doc_id", "text_hash", F.col("r.n").alias("n_words"), F.posexplode("r.all").alias("pos", "h"))
+    before, pos = F.lit(1), F.lit(0)
+    for s in sizes:
+        pos = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(pos)
+        before = before + F.greatest(F.lit(0), F.col("n_words") - s + 1)
+    posted = posted.withColumn("pos", pos)
+    if small:
+        posted = posted.join(F.broadcast(vocabulary), "h")
+    else:  # a shingle may be in every document: documents are dealt to copies of it
+        salts = F.array(*(F.lit(i) for i in range(SALTS)))
+        salted = posted.where(F.col("h") != PRESENT).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+        met = salted.join(vocabulary.withColumn("salt", F.explode(salts)), ["h", "salt"]).select(posted.columns)
+        posted = met.union(posted.where(F.col("h") == PRESENT).select(posted.columns))
+    posted = staged(posted, "shingle-postings")
 
     base = posted.where(F.col("h") == PRESENT)
     matches = posted.where(F.col("h") != PRESENT).distinct()
@@ -116,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hit = occurs.select(*key, "start", "len").distinct().withColumn("to", F.coalesce(F.max(end).over(earlier), F.lit(0)))
     hit = hit.groupBy(key).agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "to"))).alias("n_hit"))
     named = occurs.select(*key, "win").distinct().join(hint(wins.select("win", "item_id")), "win").select(*key, "item_id").distinct()
-    named = named.groupBy(key).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
+    named = named.groupBy(key).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.coalesce("item_id", F.lit("")))), ",").alias("items"))
     out = base
     for name, side in (("x", hit), ("y", named)):
         side = side.withColumnsRenamed({"doc_id": f"{name}_id", "text_hash": f"{name}_hash"})
@@ -138,11 +151,16 @@ BROADCAST_DOCS = 1_000_000
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
+    """The rows of ``docs``, all columns, that hold no window of the benchmark.
+
+    Rows with null ids, null or empty texts and repeated rows are judged like any
+    other; columns may have any names; empty tables give nothing to reject.
+    """
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated")
-    gone = staged(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    i, h = fresh("_id", docs), fresh("_hash", docs)
+    gone = staged(found.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), "contaminated")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
-    return docs.join(gone, (F.xxhash64(text_col) == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(gone, (F.xxhash64(text_col) == F.col(h)) & F.col(id_col).eqNullSafe(F.col(i)), "left_anti")
 
 
 _LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotag.llm.common import staged
+from chronotag.llm.common import fresh, join_hot, staged
 from chronotag.llm.graphs import components
 
 #: Counters of the frequency sketch, and of one row of it.
@@ -237,6 +238,7 @@ def _promising(postings: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches):
             token, comp, n, c = (x[k] for k in ("token", "comp", "n", "c"))
+            n = n.astype(np.int64)
             at = np.arange(len(token))
             new = np.concatenate([[True], token[1:] != token[:-1]])
             start = np.maximum.accumulate(np.where(new, at, 0))
@@ -261,6 +263,7 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches):
             token, comp, n, c, m = (x[k] for k in ("token", "comp", "n", "c", "m"))
+            n = n.astype(np.int64)
             maps = np.frombuffer(b"".join(x["map"]), np.uint64).reshape(len(token), MAP_WORDS)
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             out = []
@@ -271,7 +274,7 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
                     to = i + 1 + int(np.searchsorted(n[i + 1 : hi] * rule.num, n[i] * rule.den, "right"))
                     j = np.flatnonzero(comp[i + 1 : to] != comp[i]) + i + 1
                     apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                    j = j[apart <= rule.most_apart(n[j].astype(np.int64), int(n[i]))]
+                    j = j[apart <= rule.most_apart(n[j], int(n[i]))]
                     if len(j):
                         out.append((np.full(len(j), i), j))
                 if sum(len(o[0]) for o in out) > 100_000:
@@ -364,8 +367,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
 
     Nothing is capped: step 4 alone would find every connection, step 3 only
     spares it pairs whose documents are known to be connected.  Repeated rows
-    get equal results; an empty table gives an empty result; other columns are
-    ignored.  Sets are compared by 64-bit hashes.
+    get equal results; an empty table gives an empty result; other columns,
+    whatever their names, are ignored.  A very long text is hashed in segments
+    and its whole set is held by one task.  Sets are compared by 64-bit hashes.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profile = staged(_profile(own, rule), "jaccard-profile")
@@ -398,17 +402,42 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     # every found link, and every class as it was contracted
     joined = components(more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-components")
 
-    classed = staged(members.join(joined, F.col("c") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "c")).alias("comp")), "jaccard-classed")
-    least = classed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return classed.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # each class's smallest id, then each component's: both are aggregates with partial sums
+    classes = staged(members.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")), "jaccard-classes")
+    named = staged(classes.join(joined, F.col("c") == F.col("node"), "left").select("c", "first", F.coalesce("component", "c").alias("comp")), "jaccard-named")
+    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    by_class = staged(join_hot(named.select("c", "comp"), least, "comp", "inner", "jaccard-components").select("c", "component_id"), "jaccard-by-class")
+    every = members.withColumn("c", F.when(F.col("n") > 0, F.col("c")))
+    return join_hot(every, by_class, "c", "left", "jaccard-classes").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, rule: Rule = Rule(5, 80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, but for documents that links connect
-    with a smaller id; of rows with one id one stays."""
+    with a smaller id; of rows with one id one stays.
+
+    Texts without words, null or empty, and rows without an id are linked with
+    nothing and stay; columns may have any names; an empty table gives an empty
+    one.
+    """
+    out = fresh("_gone", docs)
     found = staged(jaccard_components(docs, rule, id_col, text_col), "jaccard-found")
-    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(out)).distinct(), "jaccard-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs[id_col] == F.col(out), "left_anti")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])) if twice else kept
+
+
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+#: The query's SQL: all pairs that share a shingle, and what links reach.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS sh FROM d WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(r, o) AS (SELECT r, r FROM d UNION SELECT reached.r, ends.b FROM reached JOIN ends ON reached.o = ends.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(x.doc_id) AS component_id
+FROM d JOIN reached USING (r) JOIN d x ON x.r = reached.o LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""

@@ -61,4 +61,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_ann, op5_jaccard, op6_language, op7_secrets, op8_substrings, op9_chat, op10_sharding)}
-ORACLES = {"op3_decontamination": decontam.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
+ORACLES = {
+    "op3_decontamination": decontam.ORACLE_SQL,
+    "op5_jaccard": jaccard.ORACLE_SQL,
+    "op7_secrets": secrets.ORACLE_SQL,
+    "op8_substrings": substrings.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
+    "op10_sharding": sharding.ORACLE_SQL,
+}

@@ -23,8 +23,9 @@ def byte_balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_
 
     Size is the text's UTF-8 bytes plus 1; a null text counts as no bytes and
     has the checksum of the empty text.  Repeated and null ids are kept as rows
-    of their own.  An empty table gives an empty result.  Other columns of
-    ``docs`` are ignored.
+    of their own, ordered by id and size, nulls first.  A text larger than a
+    shard's share stays whole.  An empty table gives an empty result.  Other
+    columns of ``docs``, whatever their names, are ignored.
 
     Returns doc_id, size, text_crc32, law, shard, slot (gapless from 0 within a
     shard, in the global order) and grown_shard (always null for this law).
@@ -34,7 +35,7 @@ def byte_balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")).alias("text_crc32"),
-            F.xxhash64(text_col).alias("h"),
+            F.coalesce(F.md5(F.encode(text_col, "UTF-8")), F.lit("")).alias("h"),
         ),
         "shard-base",
     )
@@ -87,3 +88,22 @@ def byte_balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_
         (F.col("row") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: CRC-32 by its table, which is made bit by bit.
+_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, coalesce(md5(text), '') AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
+t AS MATERIALIZED (SELECT {_TABLE} AS crc),
+sums AS (SELECT h, x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM (SELECT DISTINCT h, x FROM d), t),
+al AS (SELECT sum(size) AS total, count(*) AS n FROM d),
+heavy AS (SELECT h, row_number() OVER (ORDER BY b DESC, h) AS rank FROM (SELECT h, sum(size) AS b, count(*) AS n FROM d GROUP BY h) g, al
+  WHERE b * {HEAVY_SHARES} > total OR g.n * {HEAVY_SHARES} > al.n),
+o AS (SELECT d.*, coalesce(rank, {4 * HEAVY_SHARES}) AS o1 FROM d LEFT JOIN heavy USING (h)),
+p AS (SELECT doc_id, size, h, row_number() OVER w - 1 AS row, sum(size) OVER w - size AS before, sum(size) OVER (PARTITION BY o1, h) AS bytes, o1 FROM o
+  WINDOW w AS (ORDER BY o1, h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT doc_id, size, h, row, CAST(least(7, (2 * min(before) OVER (PARTITION BY o1, h) + bytes) * 8 // (2 * (SELECT total FROM al))) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s JOIN sums USING (h)
+"""

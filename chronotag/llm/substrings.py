@@ -364,3 +364,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     joined = own.join(side, ["doc_id", "text_hash"], "left").select("doc_id", F.encode("text", "UTF-8").alias("text"), "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: All windows of the query's length, told by the smallest document of each.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+part AS (SELECT r, doc_id, o, substr(x, 2 * o + 1, {2 * (512 + LENGTH - 1)}) AS x FROM (SELECT r, doc_id, x, unnest(range(0, len(x) // 2, 512)) AS o FROM d)),
+w AS (SELECT r, doc_id, o + i AS i, substr(x, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT r, doc_id, o, x, unnest(range(len(x) // 2 - {LENGTH} + 1)) AS i FROM part)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i FROM w JOIN f USING (s) WHERE doc_id > first),
+run AS (SELECT r, min(i) AS lo, max(i) + {LENGTH} AS hi FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY r, k),
+edge AS (SELECT r, lo, hi FROM run UNION ALL SELECT r, len(x) // 2, len(x) // 2 FROM d),
+kept AS (SELECT r, string_agg(substr(x, 2 * coalesce(before, 0) + 1, 2 * (lo - coalesce(before, 0))), '' ORDER BY lo) AS x FROM (
+  SELECT r, lo, lag(hi) OVER (PARTITION BY r ORDER BY lo, hi) AS before FROM edge) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM run GROUP BY r) USING (r)
+"""

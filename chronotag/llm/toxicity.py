@@ -74,29 +74,58 @@ class Lexicon:
         return a
 
 
-def hits(automaton, text: str) -> tuple[list[tuple[int, float]], int]:
-    """(position, weight) of the patterns outside exception phrases, and the
-    number of words."""
-    found, excused, n_words, at = [], [], 0, 0
-    while True:  # segments end between words, with a word of overlap for phrases
-        end = len(text) if len(text) - at <= SEGMENT else max(text.rfind(" ", at, at + SEGMENT), at) or len(text)
-        if end == at:
-            end = len(text)
-        folded = fold(text[at:end])
-        words = len(folded.split())
-        n_words += words
-        if words and len(automaton):
-            s = " " + " ".join(folded.split()) + " "
-            for last, (size, weight) in automaton.iter(s):
-                (found if weight else excused).append((at + last - size + 1, at + last, weight))
-        if end >= len(text):
+def _segments(text: str) -> Iterator[str]:
+    """Pieces of about SEGMENT characters, each but the first from a space on."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = text.rfind(" ", at + 1, at + SEGMENT)
+        end = end if end > 0 else text.find(" ", at + SEGMENT)
+        if end < 0:
             break
+        yield text[at:end]
         at = end
+    yield text[at:]
+
+
+def hits(automaton, text: str) -> tuple[list[tuple[int, float]], int]:
+    """(position, weight) of the patterns outside exception phrases, and the
+    number of words.
+
+    Positions are those in the folded words with one space between them.  A very
+    long text is folded piece by piece, and the automaton keeps its state from
+    one to the next, so phrases are found wherever they lie.
+    """
+    found, excused, n_words, search = [], [], 0, None
+    for segment in _segments(text):
+        words = fold(segment).split()
+        n_words += len(words)
+        if not words or not len(automaton):
+            continue
+        s = " ".join(words) + " "
+        if search is None:
+            search = automaton.iter(" " + s)
+        else:
+            search.set(s, False)
+        for last, (size, weight) in search:
+            (found if weight else excused).append((last - size + 1, last, weight))
     if excused:
-        found = [f for f in found if not any(e[0] <= f[0] and f[1] <= e[1] for e in excused)]
+        found = _outside(found, excused)
     return [(f[0], f[2]) for f in found], n_words
 
 
+def _outside(found: list[tuple], excused: list[tuple]) -> list[tuple]:
+    """The spans that lie in no excused one, by one pass in order of start."""
+    out, reach, i = [], -1, 0
+    excused.sort()
+    for span in sorted(found):
+        while i < len(excused) and excused[i][0] <= span[0]:
+            reach = max(reach, excused[i][1])
+            i += 1
+        if span[1] > reach:
+            out.append(span)
+    return out
+
+
 def features(found: list[tuple[int, float]], n_words: int) -> tuple[float, ...]:
     total = sum(w for _, w in found)
     return 1.0, float(bool(found)), math.log1p(total), math.log1p(100 * total / max(n_words, 20)), max((w for _, w in found), default=0.0)
@@ -225,8 +254,10 @@ def _features_of(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Learn from labelled documents that are not held out.
 
-    At most about ``labelled`` rows are used, chosen by a hash of their id.
-    Labels that are null or whose text is missing teach nothing.
+    At most about ``labelled`` rows are used, chosen by a hash of their id, with
+    their whole texts.  Labels that are null or whose text is missing teach
+    nothing; where no label of either kind is left, as in empty tables, the
+    lexicon is empty.  Repeated rows count each time; other columns are ignored.
     """
     rows = labels.select(F.col(id_col).alias("_id"), "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col)))
     n = rows.count()
@@ -237,12 +268,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col:
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score whole texts: (doc_id, held_out, score, predicted, n_hits).
+    """Score whole texts: (doc_id, held_out, score, predicted).
 
     Weighted patterns are found by one Aho-Corasick pass over the folded text,
     except inside exception phrases; their weights, in total and per word, give
-    the score.  Null and empty texts have no hits; without any labels the score
-    is 0.  One row for each input row.  Other columns are ignored.
+    the score.  Null and empty texts have no hits; with an empty lexicon the
+    score is 0.  A very long text is folded piece by piece, with the same result
+    as at once.  One row for each input row, repeated rows and null ids (never
+    held out: null) included; an empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     x = _features_of(own, lexicon)
@@ -252,7 +286,12 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`toxicity` predicts 0 for."""
+    """The rows of ``docs``, all columns, that :func:`toxicity` predicts 0 for.
+
+    Rows are judged one by one, so repeated rows, null ids and columns of any
+    name are kept as they are; null and empty texts are clean; an empty table
+    gives an empty one; with an empty lexicon all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
