@@ -21,8 +21,7 @@ def byte_balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_
     totals give each partition its global offset; a group goes whole to the
     shard that holds its midpoint.
 
-    Size is the text's UTF-8 bytes plus 1; a null text counts as no bytes and
-    has the checksum of the empty text.  Repeated and null ids are kept as rows
+    Size is the text's UTF-8 bytes plus 1; a null text is an empty one.  Repeated and null ids are kept as rows
     of their own, ordered by id and size, nulls first.  A text larger than a
     shard's share stays whole.  An empty table gives an empty result.  Other
     columns of ``docs``, whatever their names, are ignored.
@@ -35,7 +34,7 @@ def byte_balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")).alias("text_crc32"),
-            F.coalesce(F.md5(F.encode(text_col, "UTF-8")), F.lit("")).alias("h"),
+            F.md5(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")).alias("h"),
         ),
         "shard-base",
     )
@@ -93,7 +92,7 @@ def byte_balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_
 #: CRC-32 by its table, which is made bit by bit.
 _TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, coalesce(md5(text), '') AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, md5(coalesce(text, '')) AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
 t AS MATERIALIZED (SELECT {_TABLE} AS crc),
 sums AS (SELECT h, x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
   lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM (SELECT DISTINCT h, x FROM d), t),

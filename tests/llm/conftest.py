@@ -20,7 +20,7 @@ def prose():
 def edges(spark, prose):
     """Nulls, empty, long and repeated rows, and columns with inner names."""
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x y z"), (None, None), (4, prose(60_000, 1)), (5, "  \n\t "), (6, "é ñ 𝒳 \x00 \x1c end"), (7, prose(300, 2)), (8, prose(300, 2))]
-    clash = "text_hash h size c n token r w _id _hash row pid shard spans tags hash value block list".split()
+    clash = "text_hash h size c n token r w _id _hash _cut _gone _d row pid shard spans tags hash value block list repo owner base any start end is kind from to component node comp length sequence_id".split()
     return spark.createDataFrame([(*r, None, None, *("z" for _ in clash)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in clash))
 
 

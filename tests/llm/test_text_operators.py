@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,41 @@ def test_folding_and_segments(monkeypatch):
     assert (len(cut[0]), cut[1]) == (len(whole[0]), whole[1])
 
 
+def brute_hits(lexicon, text):
+    """Every pattern at every word's beginning, and no segments."""
+    s = " " + " ".join(toxicity.fold(text).split()) + " "
+    spans = lambda phrases, end: [(i, i + len(p) + 1, p) for p in phrases for i in range(len(s)) if s.startswith(f" {p}{end}", i)]
+    excused = spans(lexicon.exceptions, " ")
+    found = [(i, j, p) for i, j, p in spans(lexicon.weights, "") if not any(a <= i and j <= b + 1 for a, b, _ in excused)]
+    return sorted((i, lexicon.weights[p]) for i, _, p in found), len(s.split())
+
+
+def test_hits_equal_brute_force(monkeypatch):
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon({"idiot ": 2.0, "vili": 1.0, "ba ": 0.5}, ["idiot box", "the idiot", "ba ba ba"])
+    pool = ["idiot", "IDIOT,", "box", "vilify", "the", "ba", "x", "1d1ot", "box.box", "vil"]
+    for _ in range(150):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))
+        for size in (7, 23, 1 << 20):
+            monkeypatch.setattr(toxicity, "SEGMENT", size)
+            found, words = toxicity.hits(lexicon.automaton(), text)
+            assert (sorted(found), words) == brute_hits(lexicon, text), (text, size)
+
+
+def test_phrases_across_the_border_of_a_long_text():
+    lexicon = toxicity.Lexicon({"idiot ": 2.0}, ["idiot box"])
+    automaton = lexicon.automaton()
+    for before in range(toxicity.SEGMENT - 14, toxicity.SEGMENT + 3, 2):
+        for phrase, want in (("idiot box", 0), ("idiot fox", 1)):
+            text = "a" * (before % 7) + " a" * ((before - before % 7) // 2) + f" {phrase} " + "b " * 20
+            assert len(toxicity.hits(automaton, text)[0]) == want, (before, phrase)
+
+
+def test_many_hits_take_linear_time():
+    lexicon = toxicity.Lexicon({"idiot ": 2.0}, ["idiot box"])
+    assert len(toxicity.hits(lexicon.automaton(), "idiot box idiot " * 100_000)[0]) == 100_000
+
+
 # --- 2 packing -------------------------------------------------------------
 
 
@@ -160,12 +196,12 @@ def brute_contamination(docs, items):
                 if tuple(w[k : k + n]) in wins:
                     hit |= set(range(k, k + n))
                     named |= wins[tuple(w[k : k + n])]
-        out.append((d, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(map(str, named))).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted("" if i is None else str(i) for i in named)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
 def test_contamination(spark, edges, none, prose):
-    items = [(1, prose(30, 50)), (2, "a b C"), (3, "short"), (4, ""), (5, None), (6, prose(10, 51)), (7, prose(30, 50)), (8, "é ñ")]
+    items = [(1, prose(30, 50)), (2, "a b C"), (3, "short"), (4, ""), (5, None), (6, prose(10, 51)), (7, prose(30, 50)), (8, "é ñ"), (None, prose(30, 50)), (None, "é ñ")]
     shared = prose(30, 50).split()
     docs = [(i, " ".join([prose(20, i), *shared[a : a + n], prose(5, i + 1)]).upper().replace(" ", ", ")) for i, (a, n) in enumerate([(0, 30), (5, 9), (5, 10), (18, 12), (0, 0)])]
     docs += [(20, prose(10, 51) + " é ñ short " + prose(10, 51)), (21, "x short-short")]
@@ -253,11 +289,11 @@ def test_language(spark, edges, none):
     rng = random.Random(6)
     make = {x: lambda s=s: "".join(rng.choice(s) for _ in range(rng.randint(1, 3))) for x, s in {"aa": ["the", "ing", "wh"], "bb": ["sch", "ung", "ö"], "cc": ["ción", "ll", "ñ"]}.items()}
     rows = [(i, " ".join(make[x]() for _ in range(rng.randint(3, 60))), x) for i, x in enumerate(rng.choice(list(make)) for _ in range(300))]
-    rows += [(1000, None, "aa"), (1001, "12 ..", "aa"), (1002, "", None)]
+    rows += [(1000, None, "aa"), (1001, "12 ..", "aa"), (1002, "", None), (1003, "½ ² ①", "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     texts = langid.train(docs)
     got = {r.doc_id: r for r in langid.identify(docs, texts).collect()}
-    assert {got[i].lang_pred for i in (1000, 1001, 1002)} == {"und"}
+    assert {got[i].lang_pred for i in (1000, 1001, 1002, 1003)} == {"und"}
     assert all(r.held_out == held(i) and 0 <= r.score <= 1 for i, r in got.items())
     own = [(i, x) for i, _, x in rows[:300] if held(i)]
     assert sum(got[i].lang_pred == x for i, x in own) / len(own) > 0.97
@@ -265,16 +301,40 @@ def test_language(spark, edges, none):
     assert langid.train(edges) == {} and {r.lang_pred for r in langid.identify(edges, {}).collect()} == {"und"}
 
 
+def brute_phrases(text, other):
+    """Longest matches one after the other; a symbol that is nowhere is one."""
+    n, at = 0, 0
+    while at < len(other):
+        size = max((k for k in range(1, len(other) - at + 1) if other[at : at + k] in text), default=1)
+        at, n = at + size, n + 1
+    return n
+
+
 def test_automaton_parses_into_the_fewest_longest_matches():
     rng = random.Random(1)
     for _ in range(200):
         text, other = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) for _ in range(2))
         other += "x" * rng.randint(0, 2)
-        n, at = 0, 0
-        while at < len(other):
-            size = max((k for k in range(1, len(other) - at + 1) if other[at : at + k] in text), default=1)
-            at, n = at + size, n + 1
-        assert langid.SuffixAutomaton(text).phrases(other) == n, (text, other)
+        assert langid.SuffixAutomaton(text).phrases(other) == brute_phrases(text, other), (text, other)
+
+
+@pytest.mark.parametrize("limits", [(1, 1 << 25), (10**9, 1 << 25), (4, 0)])
+def test_predictions_parse_whole_texts(spark, prose, monkeypatch, limits):
+    monkeypatch.setattr(langid, "FEW_TEXTS", limits[0])
+    monkeypatch.setattr(langid, "DENSE_ENTRIES", limits[1])
+    rng = random.Random(5)
+    learned = {"aa": prose(90, 1), "bb": prose(70, 2) + " été straße", "cc": "xyz zyx"}
+    as_text = lambda s: "".join(chr(c) if c else " " for c in s)
+    streams = {x: langid.letter_stream(t) for x, t in learned.items()}
+    assert as_text(langid.letter_stream("½ ²")) == "" and as_text(langid.letter_stream("İe1É..ß  ²a")) == " ie é ß a "
+    texts = [prose(rng.randint(1, 60), 10 + i) + rng.choice(["", " Été!", " 42 qqq", " xyz"]) for i in range(30)] + ["", None, "½ ² ①", "1 2", "Q"]
+    got = langid.Model(streams).predict(texts)
+    for t, (lang, score) in zip(texts, got, strict=True):
+        own = as_text(langid.letter_stream(t))
+        bits = {x: brute_phrases(as_text(s), own) * np.log2(len(s)) for x, s in streams.items()}
+        assert lang == (min(bits, key=lambda x: (bits[x], x)) if own else "und") and (0 < score <= 1 if own else score == 0), t
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, streams).collect()} == dict(enumerate(got))
 
 
 # --- 7 secrets -------------------------------------------------------------
@@ -311,6 +371,22 @@ def test_secrets(spark, edges, none):
     assert secrets.redact_live(docs).count() == docs.count() and secrets.redact_live(docs).columns == docs.columns
 
 
+def test_secrets_of_long_texts(spark):
+    many = " ".join(f"é token=x{i:07d} Zz{i:024d}é" for i in range(20_000))
+    docs = spark.createDataFrame([(1, many, "s"), (2, "token=" + "a" * 30 + "Z1 deadbeef" * 9, "s")], DOCS)
+    got = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    spans = brute_spans(many)
+    assert got[1].n_assign == 20_000 and got[1].base_sha256 == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, b, n in spans).encode()).hexdigest()
+    red = {r.doc_id: r.text for r in secrets.redact_live(docs).collect()}
+    covered = sorted(tuple(map(int, x.split(":")[1:])) for x in got[1].spans.split(","))
+    out, at = [], 0
+    for lo, hi in covered:
+        if hi > at:
+            out += [many[at : max(lo, at)], "[secret]" if lo >= at else ""]
+            at = hi
+    assert red[1] == "".join(out) + many[at:]
+
+
 # --- 8 repeated substrings -------------------------------------------------
 
 
@@ -383,6 +459,25 @@ def test_suffix_order_and_prefixes():
 # --- 10 sharding -----------------------------------------------------------
 
 
+def brute_shards(rows, n=8):
+    """The global order and the cut at each group's midpoint."""
+    own = [(r.doc_id, len((r.text or "").encode()) + 1, hashlib.md5((r.text or "").encode()).hexdigest()) for r in rows]
+    groups = collections.defaultdict(list)
+    for d, size, h in own:
+        groups[h].append((d is not None, d or 0, size))
+    total = sum(size for _, size, _ in own)
+    weight = {h: sum(s for *_, s in v) for h, v in groups.items()}
+    heavy = sorted((h for h in groups if weight[h] * sharding.HEAVY_SHARES > total or len(groups[h]) * sharding.HEAVY_SHARES > len(own)), key=lambda h: (-weight[h], h))
+    out, at, slots = [], 0, collections.Counter()
+    for h in [*heavy, *sorted(set(groups).difference(heavy))]:
+        shard = min(n - 1, (2 * at + weight[h]) * n // (2 * total))
+        for known, d, _ in sorted(groups[h]):
+            out.append((d if known else None, shard, slots[shard]))
+            slots[shard] += 1
+        at += weight[h]
+    return out
+
+
 @pytest.mark.parametrize("hot", [0, 60])
 def test_shards(spark, edges, none, prose, hot):
     docs = edges.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, prose(1 + i % 90, i)) for i in range(800)] + [(5000 + i, prose(80, 7)) for i in range(hot)], "doc_id long, text string"))
@@ -399,5 +494,6 @@ def test_shards(spark, edges, none, prose, hot):
     assert all(len(v) == 1 for v in of.values())  # equal texts stay together
     assert any(len(t.text or "") > 100_000 for t in texts)  # larger than a shard's target
     assert sharding.byte_balanced_shards(none).count() == 0
+    assert [(r.doc_id, r.shard, r.slot) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == brute_shards(texts)
     sizes = [r[1] for r in sharding.byte_balanced_shards(docs.where("doc_id <> 4"), 8).groupBy("shard").agg(F.sum("size")).collect()]
     assert len(sizes) == 8 and max(sizes) <= 1.05 * min(sizes)
