@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotag.llm.common import staged
-from chronotag.llm.induced import suffix_order
+from chronotag.llm.induced import MEMORY, ROWS, Queue, Scratch, sorted_blocks, suffix_order
 
 LENGTH = 50
 #: Bytes that an anchor's hash covers.
 GRAM = 16
-#: Segment bytes that a shard is meant to hold, the largest number of shards,
-#: and the text and suffix bytes that are worked on at a time.
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
-TEXT_BYTES, SUFFIX_BYTES = 1 << 20, 3 << 19
-FLUSH = 1 << 17
+#: Segment bytes that a shard is meant to hold, and the largest number of shards;
+#: beyond it shards grow, far above MEMORY, which is what a shard's sorts hold.
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 4096
+#: Text that is cut at a time, and segment bytes gathered before they are packed.
+TEXT_BYTES, FLUSH = 1 << 20, 1 << 17
 #: Documents whose spans are broadcast, at most, and bytes of their spans.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
@@ -151,138 +150,150 @@ def _segments(docs: DataFrame, shards: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, blob binary")
 
 
-def _repeats(parts: list[list[np.ndarray]], length: int) -> np.ndarray:
-    """Rows (doc_id, text_hash, from, to) of bytes that a smaller document holds,
-    among segments that include all of each of their keys."""
-    key = np.concatenate([p[0] for p in parts])
-    doc = np.concatenate([p[1] for p in parts])
-    start = np.concatenate([p[2] for p in parts])
-    size = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    data = np.concatenate([p[4] for p in parts])
-    first = np.cumsum(size) - size
-    # only keys that several documents have
-    _, group = np.unique(key, return_inverse=True)
-    low, high = np.full(group.max() + 1, 2**63 - 1), np.full(group.max() + 1, -(2**63))
-    np.minimum.at(low, group, doc[:, 0])
-    np.maximum.at(high, group, doc[:, 0])
-    kept = np.flatnonzero((low < high)[group])
-    if not len(kept):
-        return np.empty((0, 4), np.int64)
-    # equal contents are one, held by the smallest document that has it
-    contents: dict[bytes, int] = {}
-    raw = data.tobytes()
-    which = np.fromiter((contents.setdefault(raw[a : a + n], len(contents)) for a, n in zip(first[kept].tolist(), size[kept].tolist(), strict=True)), np.int64, len(kept))
-    owner = np.full(len(contents), 2**63 - 1)
-    np.minimum.at(owner, which, doc[kept, 0])
-    own = doc[kept, 0]
-    later = own > owner[which]
-    out = [np.column_stack([doc[kept[later]], start[kept[later]], start[kept[later]] + size[kept[later]]])]
-
-    # windows of an owner's content that a smaller owner's content has: suffix order
-    texts = list(contents)
-    lengths = np.array([len(t) for t in texts])
-    at = np.concatenate([[0], np.cumsum(lengths + 1)])
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    holder = np.repeat(np.arange(len(texts)), lengths + 1)
-    order, shared = suffix_order(joined, length)
-    whole = (at[holder[order]] + lengths[holder[order]] - order) >= length  # within one content
-    run = np.cumsum(shared < length)
-    least = np.full(run[-1] + 1, 2**63 - 1)
-    np.minimum.at(least, run[whole], owner[holder[order[whole]]])
-    hit = whole & (owner[holder[order]] > least[run])
-    windows = np.sort(order[hit])
-    if len(windows):
-        content = holder[windows]
-        new = np.concatenate([[True], (windows[1:] > windows[:-1] + length) | (content[1:] != content[:-1])])
-        lo = windows[new] - at[content[new]]
-        hi = windows[np.concatenate([new[1:], [True]])] + length - at[content[new]]
-        # every segment of the owner that has this content
-        mine = np.flatnonzero(~later)
-        mine = mine[np.argsort(which[mine], kind="stable")]
-        a, b = np.searchsorted(which[mine], content[new]), np.searchsorted(which[mine], content[new], "right")
-        seg = mine[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])]
-        lo, hi = np.repeat(lo, b - a), np.repeat(hi, b - a)
-        seg = kept[seg]
-        out.append(np.column_stack([doc[seg], start[seg] + lo, start[seg] + hi]))
-    return np.concatenate(out)
-
-
-def _groups(blobs: Iterator[bytes]) -> Iterator[list[list[np.ndarray]]]:
-    """A shard's segments in groups of about SUFFIX_BYTES that hold all of a key;
-    a larger shard goes through files, one for each group."""
-    parts, total, files = [], 0, None
-    ways = 64
-    for blob in blobs:
-        part = _unpacked(blob)
-        parts.append(part)
-        total += len(part[4])
-        if total > 8 * SHARD_BYTES:
-            files = files or [tempfile.TemporaryFile() for _ in range(ways)]
-            _deal(parts, files)
-            parts, total = [], 0
-    if files:
-        _deal(parts, files)
-        for f in files:
-            f.seek(0)
-            read = []
-            while head := f.read(8):
-                read.append(_unpacked(f.read(int.from_bytes(head, "little"))))
-            f.close()
-            if read:
-                yield from _split(read)
-    elif parts:
-        yield from _split(parts)
-
-
-def _select(part: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
-    size = part[3].astype(np.int64)
-    first = np.cumsum(size) - size
-    n = size[keep]
-    out = np.cumsum(n) - n
-    return [part[0][keep], part[1][keep], part[2][keep], part[3][keep], part[4][np.repeat(first[keep] - out, n) + np.arange(int(n.sum()))]]
-
-
-def _deal(parts: list, files: list) -> None:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for part in parts:
-        to = part[0] % np.uint32(len(files))
-        for i in np.unique(to):
-            own = _select(part, np.flatnonzero(to == i))
-            blob = _packed(own, pack)
-            files[int(i)].write(len(blob).to_bytes(8, "little") + blob)
-
-
-def _split(parts: list) -> Iterator[list[list[np.ndarray]]]:
-    ways = max(1, -(-sum(len(p[4]) for p in parts) // SUFFIX_BYTES))
-    to = [(p[0] >> np.uint32(8)) % np.uint32(ways) for p in parts]
-    for i in range(ways):
-        own = [_select(p, np.flatnonzero(t == i)) for p, t in zip(parts, to, strict=True)]
-        if any(len(o[0]) for o in own):
-            yield own
-
-
-def _found(blobs: DataFrame, shards: int, length: int) -> DataFrame:
+class Shard:
+    """A shard's segments on disk, and the bytes of them that smaller documents
+    hold, with at most about ``memory`` bytes of rows in memory."""
+
+    def __init__(self, length: int, memory: int):
+        self.length, self.scratch, self.count = length, Scratch(memory), 0
+        self.table = Queue(self.scratch, np.uint32, np.int64, np.int64, np.int64, np.int64)
+        self.data = Queue(self.scratch, np.uint8)
+
+    def add(self, part: list[np.ndarray]) -> None:
+        """Segments as :func:`_unpacked` gives them."""
+        key, doc, start, size, data = part
+        self.table.put(key, doc[:, 0], doc[:, 1], start, size.astype(np.int64))
+        self.data.put(data)
+        self.count += len(key)
+
+    def _columns(self) -> list[np.ndarray]:
+        out = [self.scratch.array(self.count, k) for k in self.table.kinds]
+        at = 0
+        for block in self.table.blocks():
+            for column, values in zip(out, block, strict=True):
+                column[at : at + len(values)] = values
+            at += len(block[0])
+        return out
+
+    def _several(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a segment's key is one that several documents have."""
+        m = self.count
+        of, several = self.scratch.array(m, np.int64), self.scratch.array(m, bool)
+        rows = ([key[i : i + ROWS], doc[i : i + ROWS], np.arange(i, min(i + ROWS, m))] for i in range(0, m, ROWS))
+        at, last, head, least = 0, None, 0, 0
+        for k, d, j in sorted_blocks(self.scratch, rows, 2):
+            new = np.concatenate([[last is None or k[0] != last], k[1:] != k[:-1]])
+            heads = np.maximum.accumulate(np.where(new, np.arange(at, at + len(j)), head))
+            own = np.where(heads >= at, d[np.maximum(heads - at, 0)], least)
+            several[heads[d != own]] = True
+            of[j] = heads
+            at, last, head, least = at + len(j), k[-1], int(heads[-1]), int(own[-1])
+        out = self.scratch.array(m, bool)
+        for i in range(0, m, ROWS):
+            out[i : i + ROWS] = several[of[i : i + ROWS]]
+        return out
+
+    def _text(self, first: np.ndarray, size: np.ndarray, to: np.ndarray, total: int) -> np.ndarray:
+        """The kept segments behind one another, a zero after each; ``to`` is
+        where a segment goes, or less than 0."""
+        out, at = self.scratch.array(total + self.length + 8, np.uint8), 0
+        for (block,) in self.data.blocks():
+            lo, hi = int(np.searchsorted(first, at, "right")) - 1, int(np.searchsorted(first, at + len(block), "left"))
+            i = np.arange(lo, hi)[to[lo:hi] >= 0]
+            a, b = np.maximum(first[i], at), np.minimum(first[i] + size[i], at + len(block))
+            n = np.maximum(b - a, 0)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(to[i] + a - first[i], n) + step] = block[np.repeat(a - at, n) + step]
+            at += len(block)
+        return out
+
+    def repeats(self) -> Iterator[np.ndarray]:
+        """Rows (doc_id, text_hash, from, to) of bytes to remove; parts of one
+        stretch may come as several rows that touch or overlap."""
+        key, doc, hash_, start, size = self._columns()
+        keep = self._several(key, doc)
+        first, to = self.scratch.array(self.count, np.int64), self.scratch.array(self.count, np.int64)
+        kept, at, total = Queue(self.scratch, np.int64), 0, 0
+        for i in range(0, self.count, ROWS):
+            n, k = size[i : i + ROWS], keep[i : i + ROWS]
+            first[i : i + ROWS] = at + np.cumsum(n) - n
+            room = np.where(k, n + 1, 0)
+            to[i : i + ROWS] = np.where(k, total + np.cumsum(room) - room, -1)
+            at, total = at + int(n.sum()), total + int(room.sum())
+            kept.put(i + np.flatnonzero(k))
+        if not total:
+            return
+        padded = self._text(first, size, to, total)
+        which, at = self.scratch.array(kept.size, np.int64), 0
+        for (block,) in kept.blocks():
+            which[at : at + len(block)] = block
+            at += len(block)
+        begins = self.scratch.array(len(which), np.int64)
+        for i in range(0, len(which), ROWS):
+            begins[i : i + ROWS] = to[which[i : i + ROWS]]
+        hit = self._hits(padded, total, which, begins, size, doc)
+        for lo in range(0, total, ROWS):
+            windows = lo + np.flatnonzero(hit[lo : lo + ROWS])
+            if not len(windows):
+                continue
+            own = np.searchsorted(begins, windows, "right") - 1
+            new = np.concatenate([[True], (windows[1:] > windows[:-1] + self.length) | (own[1:] != own[:-1])])
+            last = np.concatenate([new[1:], [True]])
+            j = which[own[new]]
+            by = start[j] - to[j]
+            yield np.column_stack([doc[j], hash_[j], windows[new] + by, windows[last] + self.length + by])
+
+    def _hits(self, padded, total, which, begins, size, doc) -> np.ndarray:
+        """Where a window begins that a smaller document's text has: suffixes in
+        order that share a window's length with the one before are one run."""
+        hit, none = self.scratch.array(total, bool), np.iinfo(np.int64).max
+        open_, least = Queue(self.scratch, np.int64, np.int64), none  # the run that may go on
+
+        def close() -> None:
+            for at, own in open_.blocks():
+                hit[at[own > least]] = True
+
+        for at, lcp in suffix_order(padded, total, self.length, self.scratch):
+            at = at.astype(np.int64)
+            seg = np.searchsorted(begins, at, "right") - 1
+            j = which[seg]
+            whole = at + self.length <= begins[seg] + size[j]
+            own = np.where(whole, doc[j], none)
+            starts = np.flatnonzero(lcp < self.length)
+            if not len(starts) or starts[0]:  # the open run goes on
+                n = int(starts[0]) if len(starts) else len(at)
+                open_.put(at[:n][whole[:n]], own[:n][whole[:n]])
+                least = min(least, int(own[:n].min()))
+                if not len(starts):
+                    continue
+            close()
+            runs = np.minimum.reduceat(own, starts)
+            last = int(starts[-1])
+            of = np.repeat(runs[:-1], np.diff(starts))
+            inner, theirs = at[starts[0] : last], own[starts[0] : last]
+            hit[inner[whole[starts[0] : last] & (theirs > of)]] = True
+            open_.put(at[last:][whole[last:]], own[last:][whole[last:]])
+            least = int(runs[-1])
+        close()
+        return hit
+
+
+def _found(blobs: DataFrame, shards: int, length: int, memory: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[int, bytes]]:
-            for batch in batches:
-                yield from zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True)
-
-        rows, pending = each(), []
-
-        def of_shard(first: tuple[int, bytes]) -> Iterator[bytes]:
-            yield first[1]
-            for row in rows:
-                if row[0] != first[0]:
-                    pending.append(row)
-                    return
-                yield row[1]
-
-        while (now := pending.pop() if pending else next(rows, None)) is not None:
-            for group in _groups(of_shard(now)):
-                got = _repeats(group, length)
-                for i in range(0, len(got), 1 << 18):
-                    x = got[i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, j])) for j in range(4)], names=["doc_id", "text_hash", "lo", "hi"])
+        def told(shard: Shard) -> Iterator[pa.RecordBatch]:
+            for x in shard.repeats():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, j])) for j in range(4)], names=["doc_id", "text_hash", "lo", "hi"])
+
+        now, shard = None, None
+        for batch in batches:
+            for number, blob in zip(batch.column("shard").to_pylist(), batch.column("blob"), strict=True):
+                if number != now:
+                    if shard:
+                        yield from told(shard)
+                    now, shard = number, Shard(length, memory)
+                shard.add(_unpacked(blob.as_buffer().to_pybytes()))
+        if shard:
+            yield from told(shard)
 
     dealt = blobs.repartition(shards, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "doc_id long, text_hash long, lo long, hi long")
@@ -319,23 +330,25 @@ def _merged(found: DataFrame) -> DataFrame:
     return found.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "lo").mapInArrow(run, "doc_id long, text_hash long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """Remove bytes of ``length``-byte strings that also start in a document
     with a smaller id: (doc_id, n_bytes, n_removed, n_spans, kept_sha256).
 
     Every window of ``length`` bytes is keyed by the least hash of the strings
     of GRAM bytes in it, and stretches of windows of one key are dealt to shards
-    by it, so equal windows of all documents meet.  A shard sorts the suffixes
-    of its different stretches by induction (see :mod:`induced`), in groups
-    that hold all of a key; shards larger than memory go through files.  Runs of
-    suffixes that share ``length`` bytes give the windows that a smaller
-    document holds.  Strings are judged on the input, overlaps included, and
-    never cross documents.
+    by it, so equal windows of all documents meet.  A shard leaves out keys that
+    one document has and sorts the suffixes of all other stretches by recursive
+    induction (see :mod:`induced`), which carries common prefixes along, with
+    ``memory`` bytes of queues and sort runs and all else on disk.  Runs of
+    suffixes that share ``length`` bytes give the windows that a smaller document
+    holds.  Strings are judged on the input, overlaps included, and never cross
+    documents.
 
     Null texts are empty.  Rows with a null id keep all their bytes and are not
     held against others; rows with equal ids are not held against each other.
     One row for each input row; an empty table gives an empty result; other
-    columns are ignored.  Ids are whole numbers.
+    columns, whatever their names, are ignored.  Ids are whole numbers.  A very
+    long text is cut into stretches by one task.
     """
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
     # only where ids are repeated must texts of one id be told apart
@@ -343,7 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, min(MOST_SHARDS, 4 * total // SHARD_BYTES))
-    spans = staged(_merged(_found(_segments(own.select("doc_id", "text_hash", F.encode("text", "UTF-8").alias("text")), shards, length), shards, length)), "repeat-spans")
+    spans = staged(_merged(_found(_segments(own.select("doc_id", "text_hash", F.encode("text", "UTF-8").alias("text")), shards, length), shards, length, memory)), "repeat-spans")
     n, size = spans.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).first()
     side = F.broadcast(spans) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else spans
 

@@ -416,12 +416,10 @@ def test_repeats_are_removed(spark, edges, none, prose):
     assert substrings.remove_repeats(none).count() == 0
 
 
-def test_shards_larger_than_memory_go_through_files(monkeypatch, prose):
-    import numpy as np
-
+def in_shard(texts, memory):
+    """The bytes that one shard of all the texts' segments removes."""
+    shard = substrings.Shard(50, memory)
     blobs = substrings._Blobs(1)
-    texts = [prose(200, i % 5).encode() for i in range(12)]
-    packed = []
     for i, t in enumerate(texts):
         data = np.frombuffer(t, np.uint8)
         key = substrings._window_keys(data, 50)
@@ -429,31 +427,69 @@ def test_shards_larger_than_memory_go_through_files(monkeypatch, prose):
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:] - 1, [len(key) - 1]])
         doc = np.tile(np.array([[i, 0, 0]]), (len(first), 1))
-        packed += [b for _, b in blobs.add(key[first], doc, first, last - first + 50, data)]
-        packed.append(blobs.flush(0))
-    whole = [substrings._repeats(g, 50) for g in substrings._groups(iter(packed))]
-    monkeypatch.setattr(substrings, "SHARD_BYTES", 100)
-    monkeypatch.setattr(substrings, "SUFFIX_BYTES", 3000)
-    cut = [substrings._repeats(g, 50) for g in substrings._groups(iter(packed))]
-    bytes_of = lambda parts: {(d, j) for p in parts for d, _, lo, hi in p.tolist() for j in range(lo, hi)}
-    assert len(cut) > len(whole) == 1 and bytes_of(cut) == bytes_of(whole) == {(i, j) for i in range(5, 12) for j in range(len(texts[i]))}
+        for _, b in blobs.add(key[first], doc, first, last - first + 50, data):
+            shard.add(substrings._unpacked(b))
+        shard.add(substrings._unpacked(blobs.flush(0)))
+    found = {(d, j) for part in shard.repeats() for d, _, lo, hi in part.tolist() for j in range(lo, hi)}
+    return found, shard.scratch
+
+
+def test_shards_far_larger_than_memory(prose):
+    rng = random.Random(3)
+    texts = [prose(300, i % 9).encode() if i % 2 else " ".join(prose(30, rng.randrange(40)) for _ in range(9)).encode() for i in range(60)]
+    texts += [b"=" * 3000 + prose(40, 1).encode(), b"x" + b"=" * 2000, b"ab" * 700, b"\0" * 400 + b"ab" * 500, b"\0" * 300]
+    want = {(d, j) for d, n, cut in brute_cut(list(enumerate(texts)), 50) for j in cut}
+    for memory in (1 << 14, 1 << 30):
+        found, scratch = in_shard(texts, memory)
+        assert found == want
+        assert (scratch.slots > 20) == (memory < 1 << 20)  # pages on disk; none is left behind
+        assert scratch.held <= memory
+
+
+def brute_cut(rows, n):
+    first = {}
+    for d, b in rows:
+        for i in range(len(b) - n + 1):
+            first.setdefault(b[i : i + n], d)
+    return [(d, len(b), {j for i in range(len(b) - n + 1) if first[b[i : i + n]] < d for j in range(i, i + n)}) for d, b in rows]
 
 
-def test_suffix_order_and_prefixes():
-    import numpy as np
+def test_query_path_beyond_memory(spark, monkeypatch, prose):
+    monkeypatch.setattr(substrings, "MOST_SHARDS", 1)
+    rows = [(i, prose(200, i % 50) + prose(60, 7)) for i in range(200)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, memory=1 << 14)
+    assert sorted(map(tuple, got.collect())) == brute_removed([(d, t.encode()) for d, t in rows], 50)
+
 
-    from chronotag.llm.induced import suffix_order
+@pytest.mark.parametrize(("memory", "rows"), [(64, 4), (4096, 16), (1 << 20, 1 << 16)])
+def test_suffix_order_and_prefixes(monkeypatch, memory, rows):
+    from chronotag.llm import induced
 
+    monkeypatch.setattr(induced, "ROWS", rows)
     rng = np.random.default_rng(1)
-    for trial in range(120):
+    for trial in range(60):
         t = np.tile(rng.integers(0, int(rng.integers(1, 5)) + 1, int(rng.integers(1, 120))).astype(np.uint8), 1 + 2 * (trial % 3 == 0))
-        depth = int(rng.integers(2, 12))
-        order, shared = suffix_order(t, depth, most=64 if trial % 2 else 1 << 20)
-        b = t.tobytes()
-        assert sorted(order.tolist()) == list(range(len(b)))
+        depth, b = int(rng.integers(2, 12)), t.tobytes()
+        order, shared = [], []
+        for at, lcp in induced.suffix_order(np.concatenate([t, np.zeros(depth, np.uint8)]), len(t), depth, induced.Scratch(memory)):
+            order += at.tolist()
+            shared += lcp.tolist()
+        assert order == sorted(range(len(b)), key=lambda i: b[i:], reverse=True)
         for i in range(1, len(b)):
             x, y = b[order[i - 1] :][:depth], b[order[i] :][:depth]
-            assert x <= y and shared[i] == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            assert shared[i] == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_external_sort(monkeypatch):
+    from chronotag.llm import induced
+
+    monkeypatch.setattr(induced, "PAGE", 64)
+    rng = np.random.default_rng(2)
+    for memory in (256, 1 << 20):
+        a, b = rng.integers(0, 9, 3000), rng.integers(-4, 4, 3000)
+        got = [np.concatenate(c) for c in zip(*induced.sorted_blocks(induced.Scratch(memory), ([a[i : i + 70], b[i : i + 70], np.arange(i, min(i + 70, 3000))] for i in range(0, 3000, 70)), 2), strict=True)]
+        assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+        assert sorted(got[2].tolist()) == list(range(3000)) and (a[got[2]] == got[0]).all()
 
 
 # --- 10 sharding -----------------------------------------------------------
