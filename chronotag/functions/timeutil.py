@@ -13,7 +13,7 @@ NS = {"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600
 HOUR, DAY = NS["h"], NS["d"]
 #: Spellings of the duration units, besides the short ones.
 UNIT_NAMES = {
-    "nanosecond": "ns", "nanos": "ns", "microsecond": "us", "micros": "us", "millisecond": "ms", "millis": "ms",
+    "nanosecond": "ns", "nanos": "ns", "nsec": "ns", "microsecond": "us", "micros": "us", "usec": "us", "millisecond": "ms", "millis": "ms", "msec": "ms",
     "second": "s", "sec": "s", "minute": "m", "min": "m", "hour": "h", "hr": "h", "day": "d", "week": "w",
 }
 
@@ -65,9 +65,10 @@ def parse_duration(text: str) -> int | None:
 
 
 def format_duration(ns: int) -> str:
-    """``1w 2d 3h`` and so on, largest unit first; ``0ns`` for nothing."""
+    """``1w 2d 3h`` and so on, largest unit first, what is below a second in ns;
+    ``0ns`` for nothing."""
     out = []
-    for unit in sorted(NS, key=NS.get, reverse=True):
+    for unit in ("w", "d", "h", "m", "s", "ns"):
         n, ns = divmod(ns, NS[unit])
         if n:
             out.append(f"{n}{unit}")

@@ -28,12 +28,16 @@ def counts(parts: DataFrame) -> DataFrame:
 
 
 def ids(parts: DataFrame) -> DataFrame:
-    """(bucket_ns, tagset_id) of bitmaps."""
-    size = F.octet_length("bm")
-    at = F.explode(F.sequence(F.lit(0), size - 1))
-    bytes_ = parts.select("bucket_ns", "bm_bucket", "bm", at.alias("i")).select("bucket_ns", "bm_bucket", "i", F.conv(F.hex(F.expr("substring(bm, i + 1, 1)")), 16, 10).cast("int").alias("b")).where("b != 0")
-    bits = bytes_.select("bucket_ns", "bm_bucket", "i", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where(F.expr("getbit(b, j) = 1"))
-    return bits.select("bucket_ns", ((F.col("bm_bucket") - 1) * BITS + F.col("i") * 8 + F.col("j") + 1).cast("long").alias("tagset_id"))
+    """(bucket_ns, tagset_id) of bitmaps.
+
+    A bitmap's bytes are looked at within its row; only bits that are set
+    become rows.
+    """
+    byte = F.split(F.decode("bm", "ISO-8859-1"), "")
+    held = F.filter(F.transform(byte, lambda c, i: F.struct(F.ascii(c).alias("b"), i.alias("i"))), lambda x: x["b"] != 0)
+    bits = F.sequence(F.lit(0), F.lit(7))
+    at = F.flatten(F.transform(held, lambda x: F.transform(F.filter(bits, lambda j: F.getbit(x["b"], j) == 1), lambda j: x["i"] * 8 + j)))
+    return parts.select("bucket_ns", "bm_bucket", F.explode(at).alias("at")).select("bucket_ns", ((F.col("bm_bucket") - 1) * BITS + F.col("at") + 1).cast("long").alias("tagset_id"))
 
 
 def any_of(parts: DataFrame) -> DataFrame:

@@ -19,6 +19,14 @@ class NoData(ValueError):
     """Nothing to index."""
 
 
+class ResolutionMismatch(ValueError):
+    """Appended points have another resolution than the index."""
+
+
+#: Tasks that write a day, so that no day is one task's.
+TASKS_PER_DAY = 16
+
+
 @dataclass(frozen=True)
 class TagIndex:
     """Which tag sets were present when.
@@ -30,6 +38,7 @@ class TagIndex:
     table: DataFrame
     resolution_ns: int = 1
     mode: str = "bitmap"
+    stored_at: str | None = None
 
     @classmethod
     def build(cls, points: DataFrame, resolution_ns: int = 1, mode: str = "bitmap", prebucketed: bool = False) -> TagIndex:
@@ -42,7 +51,9 @@ class TagIndex:
         at = points.withColumn("ts_ns", bucket(F.col("ts_ns"), resolution_ns))
         return cls(build.neighbour_runs(at) if mode == "neighbour_runs" else build.unmerged(at), resolution_ns, mode)
 
-    def append(self, points: DataFrame) -> TagIndex:
+    def append(self, points: DataFrame, resolution_ns: int | None = None) -> TagIndex:
+        if resolution_ns is not None and resolution_ns != self.resolution_ns:
+            raise ResolutionMismatch(f"index has {self.resolution_ns} ns, points have {resolution_ns} ns")
         if self.mode == "bitmap":
             table = build.append_postings(self.table, points, self.resolution_ns)
         elif self.mode == "islands":
@@ -100,15 +111,21 @@ class TagIndex:
         return stats.dictionary_stats(self.table)
 
     def size_bytes(self) -> int:
-        """The optimizer's estimate of the table's size."""
-        return int(self.table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        """Bytes of the stored index's files; of one that is not stored, the
+        optimizer's estimate."""
+        spark = self.table.sparkSession
+        plan = self.table._jdf.queryExecution().optimizedPlan()
+        if self.stored_at:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.stored_at)
+            return int(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength())
+        return int(plan.stats().sizeInBytes())
 
     def write(self, path: str) -> None:
-        """Store by day, each day in few files, so a range reads only its days."""
+        """Store by day, each day in a few files, so a range reads only its days."""
         at = "bucket_ns" if self.mode == "bitmap" else "start_ns"
-        day = bucket(F.col(at), PARTITION_NS)
-        self.table.withColumn("day_ns", day).repartition("day_ns").sortWithinPartitions(at).write.partitionBy("day_ns").mode("overwrite").parquet(path)
+        day, part = bucket(F.col(at), PARTITION_NS), F.pmod(F.xxhash64("tags"), F.lit(TASKS_PER_DAY))
+        self.table.withColumn("day_ns", day).repartition("day_ns", part).sortWithinPartitions(at).write.partitionBy("day_ns").mode("overwrite").parquet(path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, resolution_ns: int, mode: str = "bitmap") -> TagIndex:
-        return cls(spark.read.parquet(path).drop("day_ns"), resolution_ns, mode)
+        return cls(spark.read.parquet(path).drop("day_ns"), resolution_ns, mode, path)

@@ -7,6 +7,7 @@ intervals are each order's ship days.  Tag sets leave a query as text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from chronotag.functions.tags import project, row_text, series_key, tagset
 from chronotag.functions.timeutil import DAY, HOUR, bucket, nanos
 from chronotag.operators import bitmaps, build, intervals, query, stats
 from chronotag.plans.staging import shared_root
-from chronotag.sources import files, generator, lineprotocol, points
+from chronotag.sources import files, generator, lineprotocol, load, points
 from chronotag.streaming import builds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +240,38 @@ def gen_points(spark, d):
     return generator.generate_points(spark, 60, points=24, columns=3)
 
 
+@registered("SELECT ts_ns, tags || ',props=' || props AS tags FROM e JOIN events USING (event_id)")
+def sorted_rows(spark, d):
+    return text(points.sorted_rows(events(spark, d, "event_type", "user_id", "props").select("ts_ns", F.expr("transform(array(0, 2, 1), i -> tags[i])").alias("tags"))))
+
+
+@registered("SELECT ts_ns, tags AS series FROM e")
+def sorted_series(spark, d):
+    return points.sorted_series(events(spark, d, "event_type", "user_id"))
+
+
+_ADMITTED = "SELECT {tags} AS tags, ts_ns FROM e WHERE kind IN (SELECT kind FROM e GROUP BY kind ORDER BY min((ts_ns, kind)) LIMIT 3) ORDER BY ts_ns, tags LIMIT 700"
+
+
+@registered(_ADMITTED.format(tags="kind"))
+def bounded_load(spark, d):
+    config = files.LoadConfig(f"{d}/events.parquet", max_rows=700, max_cardinality=3, max_duration_ns=400 * DAY)
+    return text(load.load(spark, config, "ts", ["event_type"]))
+
+
+@registered(_ADMITTED.format(tags="'_measurement=points,' || kind"))
+def line_protocol_load(spark, d):
+    folder = f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    lineprotocol.write_lines(events(spark, d)).write.text(folder)
+    return text(load.load(spark, files.LoadConfig(folder, "lineprotocol", max_rows=700, max_cardinality=3)))
+
+
+@registered("SELECT count(*) AS rows, min(ts_ns) AS min_ns, max(ts_ns) AS max_ns FROM e")
+def file_footers(spark, d):
+    found = [(f.rows, f.min_ns, f.max_ns) for f in files.footers(spark, f"{d}/events.parquet", "ts")]
+    return spark.createDataFrame(found, "rows long, min_ns long, max_ns long").agg(F.sum("rows").alias("rows"), F.min("min_ns").alias("min_ns"), F.max("max_ns").alias("max_ns"))
+
+
 # --- builds ----------------------------------------------------------------
 
 
@@ -480,8 +513,27 @@ def _relation(name: str):
     registered(f'SELECT id, "start", stop, q_id FROM iv JOIN probes ON {on}')(run)
 
 
+def _relation_many(name: str):
+    """As :func:`_relation`, for probes beyond the number that is broadcast; pairs
+    are counted per probe."""
+
+    def run(spark, d):
+        i = F.col("id")
+        probes = spark.range(400).select(i.alias("q_id"), (8000 + i * 7).alias("q_start"), (8000 + i * 7 + i % 11 * i % 90).alias("q_stop"))
+        found = intervals.related(ship_intervals(spark, d), probes, name, few_probes=100)
+        return found.groupBy("q_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("stop").alias("stops"))
+
+    run.__name__ = f"allen_{name}_many"
+    on = intervals.RELATIONS[name]
+    for short, column in (("xs", '"start"'), ("xe", "stop"), ("qs", "q_start"), ("qe", "q_stop")):
+        on = on.replace(short, column)
+    many = "SELECT CAST(i AS BIGINT) AS q_id, CAST(8000 + i * 7 AS BIGINT) AS q_start, CAST(8000 + i * 7 + i % 11 * i % 90 AS BIGINT) AS q_stop FROM range(400) t(i)"
+    registered(f'SELECT q_id, count(*) AS n, CAST(sum("start") AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS stops FROM iv JOIN ({many}) ON {on} GROUP BY q_id')(run)
+
+
 for _name in intervals.RELATIONS:
     _relation(_name)
+    _relation_many(_name)
 
 
 @registered('SELECT a."start", a.stop, count(*) - 1 AS containers FROM (SELECT DISTINCT "start", stop FROM iv) a JOIN (SELECT DISTINCT "start", stop FROM iv) b ON b."start" <= a."start" AND b.stop >= a.stop GROUP BY a."start", a.stop')
@@ -548,6 +600,12 @@ def stream_islands_foreachbatch(spark, d):
     return text(builds.stream_islands(_event_stream(spark, d), HOUR, shared_root(spark)))
 
 
+@registered("SELECT count(*) AS points, 1 AS batches, count(DISTINCT kind) AS tagsets, max(ts_ns) AS max_ns, false AS out_of_order FROM e")
+def stream_stats(spark, d):
+    made = builds.ChunkedBuild(spark, HOUR, f"{shared_root(spark)}/chunked-{uuid.uuid4().hex}").run(_event_stream(spark, d)).stats.checked()
+    return spark.createDataFrame([(made.points, made.batches, made.tagsets, made.max_ns, made.out_of_order)], "points long, batches int, tagsets long, max_ns long, out_of_order boolean")
+
+
 @registered("SELECT bucket_ns AS start_ns, bucket_ns + 1 AS stop_ns, tags FROM h")
 def stream_islands_stateful(spark, d):
     return text(builds.stream_islands_stateful(_event_stream(spark, d), HOUR, shared_root(spark)))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 MEASUREMENT = "_measurement"
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(ts_ns, tags) of the lines that can be read.
+def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ts_ns, tags, *keep) of the lines that can be read.
 
     The third part is the time; fields are ignored and nothing is escaped.
     Blank lines, comments (#), lines of fewer parts and unreadable times are
@@ -20,11 +20,11 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     tags = F.expr("transform(filter(slice(h, 2, size(h)), x -> instr(x, '=') > 0), x -> struct(substring_index(x, '=', 1) AS key, substring(x, instr(x, '=') + 1) AS value))")
     name = F.array(F.struct(F.lit(MEASUREMENT).alias("key"), F.get("h", F.lit(0)).alias("value")))
     return (
-        lines.select(part.alias("p"))
+        lines.select(part.alias("p"), *keep)
         .where((F.size("p") >= 3) & ~F.startswith(F.get("p", F.lit(0)), F.lit("#")))
-        .select(F.expr("try_cast(p[2] AS BIGINT)").alias("ts_ns"), head.alias("h"))
+        .select(F.expr("try_cast(p[2] AS BIGINT)").alias("ts_ns"), head.alias("h"), *keep)
         .where(F.col("ts_ns").isNotNull())
-        .select("ts_ns", F.array_sort(F.concat(name, tags)).alias("tags"))
+        .select("ts_ns", F.array_sort(F.concat(name, tags)).alias("tags"), *keep)
     )
 
 

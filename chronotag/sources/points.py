@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotag.functions.tags import tagset
+from chronotag.functions.tags import series_key, tagset
 from chronotag.functions.timeutil import nanos
 
 #: Fixed names of the column role metadata, and of unmarked time columns.
@@ -52,10 +53,19 @@ def parquet_roles(path: str) -> dict[str, str]:
     return {f.name: f.metadata[ROLE_KEY.encode()].decode() for f in pq.read_schema(path) if f.metadata and ROLE_KEY.encode() in f.metadata}
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with nanosecond times as BIGINT."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.parquet(path)
+#: The session setting that files with nanosecond times need.
+NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def read_parquet(spark: SparkSession, *paths: str, skip_corrupt: bool = False) -> DataFrame:
+    """Parquet with nanosecond times as BIGINT, for which the session must have
+    NANOS_AS_LONG set; ``skip_corrupt`` leaves unreadable files out."""
+    try:
+        return spark.read.option("ignoreCorruptFiles", skip_corrupt).parquet(*paths)
+    except AnalysisException as e:
+        if "NANOS" in str(e) and spark.conf.get(NANOS_AS_LONG, "false") != "true":
+            raise ValueError(f"set {NANOS_AS_LONG} to true in the session to read nanosecond times") from e
+        raise
 
 
 def extract_points(df: DataFrame, time: str | None = None, tags: list[str] | None = None, null_policy: str = "empty", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -88,3 +98,13 @@ def max_cardinality(points: DataFrame, n: int, *order: str) -> DataFrame:
     first = points.groupBy("tags").agg(F.min(F.struct(*order)).alias("_first"))
     admitted = first.orderBy("_first").limit(n).select("tags")
     return points.join(F.broadcast(admitted) if n <= 100_000 else admitted, "tags", "left_semi")
+
+
+def sorted_rows(points: DataFrame) -> DataFrame:
+    """Points in order of time, then tag set."""
+    return points.orderBy("ts_ns", "tags")
+
+
+def sorted_series(points: DataFrame) -> DataFrame:
+    """(ts_ns, series) in order of time, then series key."""
+    return points.select("ts_ns", series_key(F.col("tags")).alias("series")).orderBy("ts_ns", "series")

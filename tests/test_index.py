@@ -150,11 +150,29 @@ def test_relations(spark, name):
     }[name]
     want = sorted((*x, *q) for x in own for q in asked if fn(x, q))
     x, q = spark.createDataFrame(own, "start long, stop long"), spark.createDataFrame(asked, "q_start long, q_stop long")
-    for few in (True, False):
+    own += [(-500, 900), (0, 10**6)] if name == "overlaps" else []
+    x = spark.createDataFrame(own, "start long, stop long")
+    want = sorted((*x, *q) for x in own for q in asked if fn(x, q))
+    for few in (10_000, 0):
         got = intervals.related(x, q, name, few).select("start", "stop", "q_start", "q_stop")
         assert sorted(map(tuple, got.collect())) == want, few
 
 
+def test_salted_overlaps_and_containers(spark, monkeypatch):
+    rng = random.Random(6)
+    own = sorted({(a, a + rng.choice([0, 1, 3, 40, 900])) for a in (rng.randrange(-300, 300) for _ in range(150))})
+    asked = sorted({(a, a + rng.choice([1, 5, 2000])) for a in (rng.randrange(-300, 300) for _ in range(60))})
+    monkeypatch.setattr(intervals, "SALT_ROWS", 20)
+    x, q = spark.createDataFrame(own, "start long, stop long"), spark.createDataFrame(asked, "q_start long, q_stop long")
+    for name, fn in {"overlaps": lambda x, q: q[1] > x[0] and q[0] < x[1], "precedes": lambda x, q: x[1] < q[0] and x[0] < q[0]}.items():
+        got = intervals.related(x, q, name, 0).select("start", "stop", "q_start", "q_stop")
+        assert sorted(map(tuple, got.collect())) == sorted((*a, *b) for a in own for b in asked if fn(a, b)), name
+    want = sorted((a, b, sum(c <= a and d >= b for c, d in own) - 1) for a, b in own)
+    for rows in (1 << 20, 20):
+        assert sorted(map(tuple, intervals.containers(x, rows).collect())) == want
+    assert intervals.containers(x.limit(0)).count() == 0
+
+
 def test_interval_map(spark):
     rows = spark.createDataFrame([(1, 5, "a", 1), (1, 5, "b", 2), (2, 3, "c", 3)], "start long, stop long, v string, seq long")
     now = intervals.upsert(rows, "seq")
