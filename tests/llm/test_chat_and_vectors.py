@@ -62,6 +62,35 @@ def test_neighbours(spark):
     assert [i for _, i, _ in got[0]] == [i for _, i in want[0]]  # ties go to the smaller ids
 
 
+def test_large_lists_are_split_and_dealt(spark, monkeypatch):
+    """Few lists, all split, with more queries and postings than a comparison holds."""
+    for name, value in (("LIST_ROWS", 64), ("BLOCK_ROWS", 40), ("QUERY_ROWS", 8), ("SORTED", 4), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(900)]
+    rows += rows[:60]  # repeated rows count once
+    rows += [(20, rng.normal(size=6).astype(np.float32).tolist())]  # an id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit(1)).withColumn("part", F.lit("x"))
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    own = [(i, v) for i, v in rows[:900] if i != 20]
+    want = brute([(i, v) for i, v in rows[:900]], lambda q: q % 20 == 0 and q != 20, 10)
+    assert all([n for n, _ in v] == list(range(1, 11)) for q, v in got.items() if q != 20)
+    assert np.mean([len({i for _, i in want[q]} & {i for _, i in got[q]}) / 10 for q in want]) >= 0.9
+    assert all(i != 20 for _, i in got[20]) and len(own) == 899
+
+
+def test_median_trees_are_balanced():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4096, 5)) * [9, 3, 1, 1, 0]
+    tree = ann.MedianTree.fit(x[:2048], 4)
+    sizes = np.bincount(tree.part(x), minlength=16)
+    assert sizes.min() > 150 and sizes.max() < 400
+    again = ann.MedianTree.unpack(tree.pack(), 5)
+    assert (again.part(x) == tree.part(x)).all() and (again.centroids == tree.centroids).all()
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(few, F.col("id") % 20 == 0, 20).collect()
