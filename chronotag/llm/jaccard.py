@@ -10,10 +10,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotag.llm.common import fresh, join_hot, staged
+from chronotag.llm.common import HOT_SHARES, discard, fresh, join_hot, staged
 from chronotag.llm.graphs import components
 
 #: Counters of the frequency sketch, and of one row of it.
@@ -192,8 +192,8 @@ def _postings(docs: DataFrame, sketch: np.ndarray, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "token long, c long, n int, m int, w int")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of sorted batches, cut so that no run of equal tokens is split."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str = "token") -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted batches, cut so that no run of equal keys is split."""
     kept: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not len(batch):
@@ -201,7 +201,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         cols = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
         if kept is not None:
             cols = {k: np.concatenate([kept[k], v]) for k, v in cols.items()}
-        token = cols["token"]
+        token = cols[key]
         cut = int(np.searchsorted(token, token[-1], "left"))
         if cut:
             yield {k: v[:cut] for k, v in cols.items()}
@@ -226,18 +226,38 @@ def _shared_only(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, c long, n int, m int, w int")
 
 
+#: Blocks that the postings of a hot token are dealt to, at most.
+MOST_BLOCKS = 32
+
+
+def _blocked(postings: DataFrame) -> DataFrame:
+    """Postings with ``block`` and ``blocks``: a token that holds more than
+    1/HOT_SHARES of all postings has several blocks, by a hash of the class."""
+    counts = staged(postings.groupBy("token").agg(F.count("*").alias("n")), "jaccard-tokens")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") * HOT_SHARES > total).select("token", F.least(F.ceil(F.col("n") * HOT_SHARES / F.lit(max(1, total))), F.lit(MOST_BLOCKS)).cast("int").alias("blocks"))
+    rows = postings.join(F.broadcast(hot), "token", "left")  # HOT_SHARES tokens at most
+    return rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+
+
+def _group(*columns: str) -> Column:
+    """A token, or a hash of a hot one and its block or blocks."""
+    return F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", *columns))
+
+
 def _promising(postings: DataFrame, rule: Rule) -> DataFrame:
     """For each class the pair (a, b) of it and one of another component that
     shares most tokens with it, of those that it meets first.
 
     A token's classes are sorted by how common their rarest tokens are, so the
     first is most likely what the others were copied from; a class meets that
-    one and the last one before it of another component.
+    one and the last one before it of another component.  The blocks of a hot
+    token are tokens of their own here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _runs(batches):
-            token, comp, n, c = (x[k] for k in ("token", "comp", "n", "c"))
+        for x in _runs(batches, "g"):
+            token, comp, n, c = (x[k] for k in ("g", "comp", "n", "c"))
             n = n.astype(np.int64)
             at = np.arange(len(token))
             new = np.concatenate([[True], token[1:] != token[:-1]])
@@ -249,7 +269,7 @@ def _promising(postings: DataFrame, rule: Rule) -> DataFrame:
             i, j = i[ok], j[ok]
             yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["c", "a", "b"])
 
-    dealt = postings.repartition("token").sortWithinPartitions("token", F.desc("w"), "n", "c")
+    dealt = postings.select(_group("block").alias("g"), "c", "n", "w", "comp").repartition("g").sortWithinPartitions("g", F.desc("w"), "n", "c")
     met = dealt.mapInArrow(run, "c long, a long, b long").groupBy("c", "a", "b").agg(F.count("*").alias("s"))
     return met.groupBy("c").agg(F.max(F.struct("s", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
 
@@ -258,11 +278,14 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of classes that share a token, could link by size and parity
     map, and are not known to be connected.
 
-    postings is (token, c, n, m, comp, map)."""
+    postings is (token, c, n, m, comp, map, block, blocks).  Every two blocks of a
+    hot token meet in a group of their own, and so does each block with itself,
+    so no task gets all of its postings and no pair of them is missed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _runs(batches):
-            token, comp, n, c, m = (x[k] for k in ("token", "comp", "n", "c", "m"))
+        for x in _runs(batches, "g"):
+            token, comp, n, c, m, block, two = (x[k] for k in ("g", "comp", "n", "c", "m", "block", "two"))
             n = n.astype(np.int64)
             maps = np.frombuffer(b"".join(x["map"]), np.uint64).reshape(len(token), MAP_WORDS)
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
@@ -272,7 +295,10 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
                     continue
                 for i in range(lo, hi - 1):  # rows are sorted by n, so partners are a stretch
                     to = i + 1 + int(np.searchsorted(n[i + 1 : hi] * rule.num, n[i] * rule.den, "right"))
-                    j = np.flatnonzero(comp[i + 1 : to] != comp[i]) + i + 1
+                    apart = comp[i + 1 : to] != comp[i]
+                    if two[i]:
+                        apart &= block[i + 1 : to] != block[i]
+                    j = np.flatnonzero(apart) + i + 1
                     apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
                     j = j[apart <= rule.most_apart(n[j], int(n[i]))]
                     if len(j):
@@ -287,7 +313,10 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
         i, j = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(np.minimum(m[i], m[j]))], names=["a", "b", "m"])
 
-    dealt = postings.repartition("token").sortWithinPartitions("token", "n", "c")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = postings.withColumn("other", F.explode(others)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    met = met.select(_group("lo", "hi").alias("g"), "c", "n", "m", "comp", "map", "block", (F.col("lo") != F.col("hi")).alias("two"))
+    dealt = met.repartition("g").sortWithinPartitions("g", "n", "c")
     return dealt.mapInArrow(run, "a long, b long, m int")
 
 
@@ -374,13 +403,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profile = staged(_profile(own, rule), "jaccard-profile")
     members = profile.where(F.col("row").isNull()).select("doc_id", "c", "n")
-    postings = staged(_shared_only(_postings(own, _sketch(profile), rule)), "jaccard-postings")
+    shared = staged(_shared_only(_postings(own, _sketch(profile), rule)), "jaccard-shared")
+    postings = staged(_blocked(shared), "jaccard-postings")
+    discard(shared)
 
     maps = staged(profile.where(F.col("row").isNull()).groupBy("c").agg(F.first("n").alias("n"), F.first("map").alias("map")), "jaccard-maps")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
-        return staged(_verify(pairs, staged(_sets(own, members, ends, rule), "jaccard-sets"), rule), "jaccard-links")
+        sets = staged(_sets(own, members, ends, rule), "jaccard-sets")
+        out = staged(_verify(pairs, sets, rule), "jaccard-links")
+        discard(sets)
+        return out
 
     tried = links = known = None
     posted = postings.withColumn("comp", F.col("c"))
@@ -393,12 +427,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
             break
         links = links.union(found) if links else found
         known = components(links, "jaccard-known")
-        posted = postings.join(known, F.col("c") == F.col("node"), "left").select("token", "c", "n", "m", "w", F.coalesce("component", "c").alias("comp"))
+        posted = postings.join(known, F.col("c") == F.col("node"), "left").select("token", "c", "n", "m", "w", "block", "blocks", F.coalesce("component", "c").alias("comp"))
 
     pairs = _crossing(posted.join(maps.select("c", "map"), "c"), rule)
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("s"), F.first("m").alias("m")).where(F.col("s") >= F.col("m")).select("a", "b")
     pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = verified(pairs)
+    discard(postings, pairs, maps)
     # every found link, and every class as it was contracted
     joined = components(more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-components")
 

@@ -3,9 +3,10 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from chronotag.llm import ann, chat
+from chronotag.llm import ann, chat, graphs
 from chronotag.llm.graphs import components
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -98,7 +99,9 @@ def test_few_or_no_vectors(spark):
     assert ann.nearest(few.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("shares", [512, 4])
+def test_components(spark, monkeypatch, shares):
+    monkeypatch.setattr(graphs, "HOT_SHARES", shares)
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(None, 3), (5, 5)]
     parent = {}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotag.llm import decontam, jaccard, langid, packing, secrets, sharding, substrings, toxicity
+from chronotag.llm import common, decontam, jaccard, langid, packing, secrets, sharding, substrings, toxicity
 from chronotag.llm.registry import tokenizer_path
 
 DOCS = "doc_id long, text string, source string"
@@ -245,7 +245,7 @@ def brute_components(rows, k, num, den):
     return sorted(((d, len(sets[i]), d if not sets[i] else least.get(find(i), d)) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def test_jaccard_components(spark, edges, none, prose):
+def test_jaccard_components(spark, edges, none, prose, monkeypatch):
     rng = random.Random(8)
     rows = [tuple(r) for r in edges.select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 4").collect()]
     boilerplate = prose(60, 99)
@@ -257,6 +257,10 @@ def test_jaccard_components(spark, edges, none, prose):
                 words[rng.randrange(len(words))] = rng.choice(["ba", "kore", "tina"])
             rows.append((100 + 40 * g + 39 - j, " ".join(words) if g % 3 else boilerplate + " " + " ".join(words)))
     for rule in (jaccard.Rule(4, 85, 100), jaccard.Rule(5, 80, 100)):
+        if rule.k == 5:  # nearly every token is hot and has blocks
+            monkeypatch.setattr(jaccard, "HOT_SHARES", 1 << 20)
+            monkeypatch.setattr(jaccard, "MOST_BLOCKS", 3)
+            monkeypatch.setattr(common, "HOT_SHARES", 20)
         got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule)
         want = brute_components(rows, rule.k, rule.num, rule.den)
         assert sorted(map(tuple, got.collect()), key=str) == want
@@ -282,6 +286,32 @@ def test_longer_prefixes_ask_for_more_matches():
     assert m > 1 and len(longer) == 15 + m
 
 
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None, None, 9])) for i in range(200)]
+    side = [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    left, right = spark.createDataFrame(rows, "i long, k long"), spark.createDataFrame(side, "k long, v string")
+    for shares in (1, 6, 512):
+        monkeypatch.setattr(common, "HOT_SHARES", shares)
+        for how in ("inner", "left"):
+            want = sorted((i, dict(side).get(k)) for i, k in rows if how == "left" or k in dict(side))
+            assert sorted((r.i, r.v) for r in common.join_hot(left, right, "k", how).collect()) == want
+
+
+def test_scopes_remove_what_they_staged(spark):
+    import pathlib
+
+    folder = pathlib.Path(common.stage_root(spark).removeprefix("file:"))
+    with common.scope(spark):
+        inner = common.staged(spark.range(3), "inner")
+        kept = common.staged(inner, "kept", keep=True)
+        assert list(folder.glob("inner-*"))
+        gone = common.staged(spark.range(3), "gone")
+        common.discard(gone)
+        assert not list(folder.glob("gone-*"))
+    assert not list(folder.glob("inner-*")) and kept.count() == 3
+
+
 # --- 6 language ------------------------------------------------------------
 
 
