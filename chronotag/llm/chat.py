@@ -27,10 +27,12 @@ def unescape(c: Column) -> Column:
 def prefix_target_examples(turns: DataFrame) -> DataFrame:
     """Explode every assistant turn into an example with all turns before it.
 
-    ``turns`` has conv_id, turn, role and text; other columns are ignored.
+    ``turns`` has conv_id, turn, role and text; other columns, whatever their
+    names, are ignored.
     Turns are ordered by (turn, role, text), nulls first, so ties and repeated
     rows have one defined place.  A null role or text is an empty one.  A null
-    conv_id is a conversation of its own.  A conversation that does not end
+    conv_id is a conversation of its own, and an empty table gives an empty
+    result.  A conversation that does not end
     with an assistant turn also gives one last example without a target, so
     that no turn is lost.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,17 +33,33 @@ _PLAIN = re.compile(f"[!-~{_LATIN}]+")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
 
 
+#: How a tokenizer that can be asked chunk by chunk treats a text.
+_CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class ChunkTokenizer:
     """Ids of whole texts, by space-free chunks that are tokenized once.
 
-    The tokenizer drops white space and no token, normal form or pattern of it
-    reaches across, so a text's ids are those of its chunks in order.
+    Tokenizers as _CHUNKED drop white space and no token, normal form or pattern
+    of theirs reaches across, so a text's ids are those of its chunks in order.
+    Any other tokenizer is given whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.chunked = all(told[k] == v for k, v in _CHUNKED.items()) and all(t["content"].startswith("<|") for t in told["added_tokens"])
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         # byte-level alphabet: printable bytes stand for themselves, others for what follows U+0100
@@ -66,7 +83,7 @@ class ChunkTokenizer:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            if _ODD_SPACE.search(text):
+            if not self.chunked or _ODD_SPACE.search(text):
                 out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
             parts = []
@@ -179,8 +196,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     document is dealt evenly to tasks, and each task places its pieces longest
     first, each into the tightest open sequence that takes it.  A task holds one
     number per open sequence.  All pieces of all rows are placed, repeated rows
-    and null ids included; an empty table gives an empty result.  Other columns
-    of ``docs`` are ignored.
+    and null ids included; a null text is empty; a very long text is tokenized
+    whole by one task; an empty table gives an empty result; other columns of
+    ``docs``, whatever their names, are ignored.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """

@@ -153,6 +153,13 @@ def test_chunks_tokenize_as_whole_texts():
     assert len(c.ids([long])[0]) == 4 * len(c.tokenizer.encode(long[:2200], add_special_tokens=False).ids) * 1000
 
 
+def test_other_tokenizers_get_whole_texts():
+    other = packing.ChunkTokenizer(tokenizer_path().replace(packing.TOKENIZER, "byte_bpe_50k.json"))
+    texts = ["Don't  STOP\n\n 'S", "a  b", "", "é 12a3"]
+    assert not other.chunked and packing.ChunkTokenizer(tokenizer_path()).chunked
+    assert other.ids(texts) == [other._bytes(other.tokenizer.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_tightest_fit_is_the_tightest():
     rng = random.Random(4)
     tree, left = packing.TightestFit(50), []
