@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chronotag.functions.tags import project, row_text, series_key, tagset
 from chronotag.functions.timeutil import DAY, HOUR, bucket, nanos
 from chronotag.operators import bitmaps, build, intervals, query, stats
+from chronotag.plans.index import TagIndex
 from chronotag.plans.staging import shared_root
 from chronotag.sources import files, generator, lineprotocol, load, points
 from chronotag.streaming import builds
@@ -583,6 +584,27 @@ def results_diff(spark, d):
     return stats.results_diff(text(hourly(spark, d)), text(by_islands))
 
 
+@registered(f"SELECT *, 'a' AS only_in FROM (SELECT * FROM h EXCEPT SELECT ts_ns // {HOUR} * {HOUR}, kind FROM e WHERE ts_ns < {POINT})")
+def results_diff_some(spark, d):
+    early = events(spark, d).where(F.col("ts_ns") < POINT)
+    return stats.results_diff(text(hourly(spark, d)), text(build.postings(early, HOUR)))
+
+
+@registered(f"SELECT DISTINCT tags FROM h WHERE bucket_ns >= {LO // HOUR * HOUR} AND bucket_ns < {-(-HI // HOUR) * HOUR}")
+def index_build_append(spark, d):
+    """The index as an object: built in two parts, stored, read and asked."""
+    p, folder = events(spark, d), f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
+    TagIndex.build(p.where(F.col("ts_ns") < POINT), HOUR).append(p.where(F.col("ts_ns") >= POINT), HOUR).write(folder)
+    return text(TagIndex.read(spark, folder, HOUR).query_range(LO, HI))
+
+
+@registered("SELECT count(*) AS rows, 0 AS inversions, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM e")
+def sorted_points_order(spark, d):
+    """That sorted points are in order: inversions by their position afterwards."""
+    placed = points.sorted_rows(events(spark, d, "event_type", "user_id")).select("ts_ns", F.monotonically_increasing_id().alias("at"))
+    return files.check_sorted(placed, "at", groups=1 << 33)
+
+
 # --- streams ---------------------------------------------------------------
 
 
