@@ -42,10 +42,16 @@ RANGE_ROWS, MOST_RANGES = 1_000_000, 1 << 20
 
 
 def _range_width(rows: DataFrame, at: str) -> int:
-    """The width of time ranges that hold about RANGE_ROWS rows each."""
+    """The width of time ranges that hold about RANGE_ROWS rows each; 0 if one
+    range is enough for all."""
     lo, hi, n = rows.agg(F.min(at), F.max(at), F.count("*")).first()
     ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
-    return 1 if lo is None else max(1, -(-(hi - lo + 1) // ranges))
+    return 0 if ranges == 1 else max(1, -(-(hi - lo + 1) // ranges))
+
+
+def _range(at: str, width: int) -> Column:
+    """The number of a row's time range; all are in one if ``width`` is 0."""
+    return (F.floor(F.col(at) / width) if width else F.lit(0)).cast("long").alias("_range")
 
 
 def merge_intervals(intervals: DataFrame, *value: str, start: str = "start_ns", stop: str = "stop_ns", width: int | None = None) -> DataFrame:
@@ -57,13 +63,15 @@ def merge_intervals(intervals: DataFrame, *value: str, start: str = "start_ns",
     latest stop and the last run's start over to the ranges that follow.
     """
     value = value or ("tags",)
-    width = width or _range_width(intervals, start)
+    width = _range_width(intervals, start) if width is None else width
     key = [*value, "_range"]
-    dealt = intervals.select(*value, start, stop, F.floor(F.col(start) / width).cast("long").alias("_range"))
+    dealt = intervals.select(*value, start, stop, _range(start, width))
     order = Window.partitionBy(*key).orderBy(start, stop)
     before = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     numbered = dealt.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy(*key, "_run").agg(F.min(start).alias(start), F.max(stop).alias(stop))
+    if not width:
+        return runs.select(start, stop, *value)
 
     earlier = Window.partitionBy(*value).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = lambda df, c: df.select(*(F.col(k).alias(f"_c{i}") for i, k in enumerate(key)), F.max(c).over(earlier).alias(f"_{c}"))
@@ -89,15 +97,17 @@ def islands(points: DataFrame, resolution_ns: int = 1, step: int = 1, width: int
     rows = postings(points, resolution_ns)
     if step < resolution_ns:
         return rows.select(F.col("bucket_ns").alias("start_ns"), (F.col("bucket_ns") + step).alias("stop_ns"), "tags")
-    width = width or _range_width(points, "ts_ns")
+    width = _range_width(points, "ts_ns") if width is None else width
     key = ["tags", "_range"]
-    dealt = rows.withColumn("_range", F.floor(F.col("bucket_ns") / width).cast("long"))
+    dealt = rows.select("bucket_ns", "tags", _range("bucket_ns", width))
     own = Window.partitionBy(*key).orderBy("bucket_ns")
     runs = (
         dealt.withColumn("_run", F.col("bucket_ns") - F.row_number().over(own) * step)
         .groupBy(*key, "_run")
         .agg(F.min("bucket_ns").alias("start_ns"), (F.max("bucket_ns") + step).alias("stop_ns"))
     )
+    if not width:
+        return runs.select("start_ns", "stop_ns", "tags")
     edge = Window.partitionBy(*key)
     marked = runs.withColumn("_edge", (F.col("start_ns") == F.min("start_ns").over(edge)) | (F.col("stop_ns") == F.max("stop_ns").over(edge)))
     out = ["start_ns", "stop_ns", "tags"]
