@@ -219,7 +219,7 @@ def hashed_dictionary(rows: DataFrame, time: str, columns: list[str]) -> DataFra
     Only the rows of each id's first time are read with their tags; where these
     times are few, the scan skips all others.
     """
-    if rows.limit(DIRECT_ROWS + 1).count() <= DIRECT_ROWS:
+    if rows.count() <= DIRECT_ROWS:  # of Parquet, told by the footers
         return rows.select(tagset_id(columns).alias("tagset_id"), *columns).distinct().select("tagset_id", tagset(columns).alias("tags"))
     ids = rows.select(F.col(time).alias("_at"), tagset_id(columns).alias("tagset_id"))
     first = stored(ids.groupBy("tagset_id").agg(F.min("_at").alias("_at")), "first-times")

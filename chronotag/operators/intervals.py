@@ -94,7 +94,7 @@ def overlap_join(left: DataFrame, right: DataFrame, slack: int = 0, few: bool =
     pairs that only touch.
     """
     sizes = sorted({*_levels(left, "start", "stop"), *_levels(right, "q_start", "q_stop")})
-    salts = 1 if few else max(1, min(MOST_SALTS, -(-left.limit(MOST_SALTS * SALT_ROWS).count() // SALT_ROWS)))
+    salts = 1 if few else max(1, min(MOST_SALTS, -(-left.count() // SALT_ROWS)))
 
     def spread(df: DataFrame, lo: str, hi: str, side: str) -> DataFrame:
         at = lambda c: F.expr(f"shiftright(cast({c} as bigint), _size)")
