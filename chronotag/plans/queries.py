@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,6 +268,19 @@ def line_protocol_load(spark, d):
     return text(load.load(spark, files.LoadConfig(folder, "lineprotocol", max_rows=700, max_cardinality=3)))
 
 
+@registered("SELECT count(*) AS parquet_rows, count(*) AS line_rows, count(DISTINCT kind) AS tagsets, 0 AS only_in_one FROM e")
+def loaders_agree(spark, d):
+    """Both loaders over the same points: counts, and rows that only one has."""
+    a = load.load(spark, files.LoadConfig(f"{d}/events.parquet"), "ts", ["event_type"])
+    folder = f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    lineprotocol.write_lines(a).write.text(folder)
+    b = load.load(spark, files.LoadConfig(folder, "lineprotocol")).select("ts_ns", project(F.col("tags"), ["event_type"]).alias("tags"))
+    a, b = text(a), text(b)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    each = [one(a, "parquet_rows"), one(b, "line_rows"), stats.cardinality(b), one(stats.results_diff(a, b), "only_in_one")]
+    return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), each)  # one row each
+
+
 @registered("SELECT count(*) AS rows, min(ts_ns) AS min_ns, max(ts_ns) AS max_ns FROM e")
 def file_footers(spark, d):
     found = [(f.rows, f.min_ns, f.max_ns) for f in files.footers(spark, f"{d}/events.parquet", "ts")]
