@@ -236,7 +236,7 @@ def out_of_order_count(spark, d):
 
 
 @registered(
-    f"SELECT {generator.START} + s * {generator.STEP} AS time, chr(CAST(97 + i // 15 % 4 AS INT)) AS t0, chr(CAST(97 + i // 3 % 5 AS INT)) AS t1, chr(CAST(97 + i % 3 AS INT)) AS t2 FROM range(60) a(i), range(24) b(s)"
+    f"SELECT {generator.START} + s * {generator.STEP} AS time, chr(CAST(97 + i // 12 % 5 AS INT)) AS t0, chr(CAST(97 + i // 3 % 4 AS INT)) AS t1, chr(CAST(97 + i % 3 AS INT)) AS t2 FROM range(60) a(i), range(24) b(s)"
 )
 def gen_points(spark, d):
     return generator.generate_points(spark, 60, points=24, columns=3)
