@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of queues and sort runs that stay in memory, and of a page on disk.
-MEMORY, PAGE = 4 << 20, 1 << 15
+MEMORY, PAGE = 16 << 20, 1 << 15
 #: Rows that are worked on at a time, and how many long substrings are left to
 #: be compared whole.
 ROWS, FEW = 1 << 16, 256
@@ -97,26 +97,24 @@ class Queue:
 
     def block(self) -> list[np.ndarray] | None:
         """The next rows, about ROWS of them, or None; rows may be put in between."""
-        if not self.size:
-            return None
-        n = max(1, min(len(self.pages), ROWS // self.rows))
-        parts = [self._page(p) for p in self.pages[:n]]
-        del self.pages[:n]
-        if not self.pages and self.waiting:
-            parts.append(self._joined())
-            self.parts, self.waiting = [], 0
-        out = [np.concatenate([p[i] for p in parts]) for i in range(len(self.kinds))]
-        self.size -= len(out[0])
-        return out
+        return _some(self, ROWS) if self.size else None
 
     def blocks(self) -> Iterator[list[np.ndarray]]:
         while (block := self.block()) is not None:
             yield block
 
 
+def _order(keys: list[np.ndarray], runs: bool = False) -> np.ndarray:
+    """The order of rows by one or two keys, equal rows in any order; ``runs``:
+    the rows are sorted runs, one behind the other."""
+    if len(keys) == 1:
+        return np.argsort(keys[0], kind="stable" if runs else None)
+    # two ranks fit one number, which sorts faster than two columns
+    return np.argsort(_dense(keys[0])[1] << 32 | _dense(keys[1])[1])
+
+
 def sorted_blocks(scratch: Scratch, blocks: Iterator[list[np.ndarray]], keys: int) -> Iterator[list[np.ndarray]]:
     """External merge sort of rows by their first ``keys`` columns."""
-    order = lambda c: np.argsort(c[0], kind="stable") if keys == 1 else np.lexsort([c[i] for i in reversed(range(keys))])
     runs: list[Queue] = []
     held: list[list[np.ndarray]] = []
     size = 0
@@ -124,7 +122,7 @@ def sorted_blocks(scratch: Scratch, blocks: Iterator[list[np.ndarray]], keys: in
     def run() -> list[np.ndarray]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         held.clear()
-        o = order(columns)
+        o = _order(columns[:keys])
         return [c[o] for c in columns]
 
     for block in blocks:
@@ -143,7 +141,8 @@ def sorted_blocks(scratch: Scratch, blocks: Iterator[list[np.ndarray]], keys: in
         runs.append(Queue(scratch, *(c.dtype for c in columns)))
         runs[-1].put(*columns)
     # what no run's later rows can precede is ready
-    heads = [_some(q) for q in runs]
+    most = max(1, 2 * ROWS // len(runs))
+    heads = [_some(q, most) for q in runs]
     while any(len(h[0]) for h in heads):
         lasts = [tuple(int(h[i][-1]) for i in range(keys)) for h, q in zip(heads, runs, strict=True) if len(h[0]) and q.size]
         bound = min(lasts) if lasts else None
@@ -153,22 +152,24 @@ def sorted_blocks(scratch: Scratch, blocks: Iterator[list[np.ndarray]], keys: in
             ready.append([c[:n] for c in h])
             heads[i] = [c[n:] for c in h]
             if not len(heads[i][0]) and runs[i].size:
-                heads[i] = _some(runs[i])
+                heads[i] = _some(runs[i], most)
         columns = [np.concatenate(c) for c in zip(*ready, strict=True)]
         if len(columns[0]):
-            o = order(columns)
+            o = _order(columns[:keys], runs=True)
             yield [c[o] for c in columns]
 
 
-def _some(q: Queue) -> list[np.ndarray]:
-    """A page of a queue."""
-    if q.pages:
-        page = q._page(q.pages.pop(0))
-    else:
-        page = q._joined()
+def _some(q: Queue, most: int) -> list[np.ndarray]:
+    """The next pages of a queue, about ``most`` rows."""
+    n = min(len(q.pages), max(1, most // q.rows))
+    parts = [q._page(p) for p in q.pages[:n]]
+    del q.pages[:n]
+    if not q.pages and q.waiting:
+        parts.append(q._joined())
         q.parts, q.waiting = [], 0
-    q.size -= len(page[0])
-    return page
+    out = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    q.size -= len(out[0])
+    return out
 
 
 def _until(columns: list[np.ndarray], bound: tuple[int, ...]) -> int:
@@ -347,7 +348,7 @@ def _ranges(text: np.ndarray, most: int, scratch: Scratch) -> tuple[np.ndarray,
 
 def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The order of keys, their ranks (equal ones alike), and how many differ."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     now = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = steps = np.cumsum(np.concatenate([[0], now[1:] != now[:-1]]))
@@ -418,22 +419,44 @@ class _Pass:
             now = before[inside]
             parts.append(now)
         at, up = np.concatenate(parts), np.concatenate(parents)
+        # of one symbol: those induced from other ranges, from this one, and the known ones
+        turn = np.concatenate([np.arange(len(first)), np.arange(known, len(at)), np.arange(len(first), known)])
+        back = np.empty(len(at), np.int64)
+        back[turn] = np.arange(len(at))
+        at, up = at[turn], back[up[turn]]
+        inner = np.zeros(len(at), bool)
+        inner[len(first) : len(at) - len(rest)] = True
         symbol = self.text[at].astype(np.int64)
         symbol = symbol.max() - symbol if self.wanted else symbol - symbol.min()
-        # by symbol; induced ones first, and of these the ones from other ranges
-        key = symbol << 20
-        key[len(first) : known] += (1 << 19) + np.arange(len(rest))
-        key[: len(first)] += np.arange(len(first))
-        key[known:] += 1 << 18
-        order, rank, differ = _dense(key)
-        while differ < len(at):  # alike so far: as what induced them, and so on
-            order, rank, differ = _dense(rank << 20 | rank[up])
+        order = _radix(symbol)
+        now, mixed = symbol[order], inner[order]
+        alike = (now[1:] == now[:-1]) & mixed[1:] & mixed[:-1]
+        rank = np.empty(len(at), np.int64)
+        while True:
+            rank[order] = steps = np.cumsum(np.concatenate([[0], ~alike]))
+            if steps[-1] == len(at) - 1:
+                break
+            then = rank[up]  # alike so far: as what induced them, and so on
+            order = _radix(then)
+            order = order[_radix(rank[order])]
+            alike = (rank[order][1:] == rank[order][:-1]) & (then[order][1:] == then[order][:-1])
             up = up[up]
         own = np.ones(len(at), bool)
-        own[len(first) : known] = False
+        own[len(at) - len(rest) :] = False
         return at[order], own[order]
 
 
+def _radix(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on, by 16 bits at a time."""
+    order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
+    top = int(key.max()) >> 16
+    while top:
+        key = key >> 16
+        order = order[np.argsort((key & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+        top >>= 16
+    return order
+
+
 def suffix_array(text: np.ndarray, most: int, scratch: Scratch) -> np.ndarray:
     """The suffixes of a sequence of numbers up to ``most``, in order; a suffix
     comes before those that it begins."""

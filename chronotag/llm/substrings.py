@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,13 +157,17 @@ class Shard:
 
     def __init__(self, length: int, memory: int):
         self.length, self.scratch, self.count = length, Scratch(memory), 0
-        self.table = Queue(self.scratch, np.uint32, np.int64, np.int64, np.int64, np.int64)
+        self.table = Queue(self.scratch, np.uint32, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
         self.data = Queue(self.scratch, np.uint8)
 
     def add(self, part: list[np.ndarray]) -> None:
         """Segments as :func:`_unpacked` gives them."""
         key, doc, start, size, data = part
-        self.table.put(key, doc[:, 0], doc[:, 1], start, size.astype(np.int64))
+        size, view = size.astype(np.int64), memoryview(data)
+        ends = np.cumsum(size)
+        names = b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True))
+        names = np.frombuffer(names, np.uint64).reshape(-1, 2)
+        self.table.put(key, doc[:, 0], doc[:, 1], start, size, names[:, 0], names[:, 1])
         self.data.put(data)
         self.count += len(key)
 
@@ -175,24 +180,50 @@ class Shard:
             at += len(block[0])
         return out
 
-    def _several(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether a segment's key is one that several documents have."""
+    def _groups(self, *keys: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+        """For each kept segment the number of its group, by one or two keys."""
         m = self.count
-        of, several = self.scratch.array(m, np.int64), self.scratch.array(m, bool)
-        rows = ([key[i : i + ROWS], doc[i : i + ROWS], np.arange(i, min(i + ROWS, m))] for i in range(0, m, ROWS))
-        at, last, head, least = 0, None, 0, 0
-        for k, d, j in sorted_blocks(self.scratch, rows, 2):
-            new = np.concatenate([[last is None or k[0] != last], k[1:] != k[:-1]])
+        of = self.scratch.array(m, np.int64)
+
+        def rows() -> Iterator[list[np.ndarray]]:
+            for i in range(0, m, ROWS):
+                j = np.arange(i, min(i + ROWS, m))
+                j = j if keep is None else j[keep[i : i + ROWS]]
+                yield [*(k[j] for k in keys), j]
+
+        at, last, head = 0, None, 0
+        for *k, j in sorted_blocks(self.scratch, rows(), len(keys)):
+            if not len(j):
+                continue
+            new = np.concatenate([[last is None or any(c[0] != x for c, x in zip(k, last, strict=True))], np.logical_or.reduce([c[1:] != c[:-1] for c in k])])
             heads = np.maximum.accumulate(np.where(new, np.arange(at, at + len(j)), head))
-            own = np.where(heads >= at, d[np.maximum(heads - at, 0)], least)
-            several[heads[d != own]] = True
             of[j] = heads
-            at, last, head, least = at + len(j), k[-1], int(heads[-1]), int(own[-1])
+            at, last, head = at + len(j), [c[-1] for c in k], int(heads[-1])
+        return of
+
+    def _several(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a segment's key is one that several documents have."""
+        m, of = self.count, self._groups(key)
+        least, several = self._least(of, doc, None), self.scratch.array(m, bool)
+        for i in range(0, m, ROWS):
+            own = of[i : i + ROWS]
+            several[own[doc[i : i + ROWS] != least[own]]] = True
         out = self.scratch.array(m, bool)
         for i in range(0, m, ROWS):
             out[i : i + ROWS] = several[of[i : i + ROWS]]
         return out
 
+    def _least(self, of: np.ndarray, values: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
+        """The least value of each group."""
+        out = self.scratch.array(self.count, np.int64)
+        for i in range(0, self.count, ROWS):
+            out[i : i + ROWS] = np.iinfo(np.int64).max
+        for i in range(0, self.count, ROWS):
+            j = np.arange(i, min(i + ROWS, self.count))
+            j = j if keep is None else j[keep[i : i + ROWS]]
+            np.minimum.at(out, of[j], values[j])
+        return out
+
     def _text(self, first: np.ndarray, size: np.ndarray, to: np.ndarray, total: int) -> np.ndarray:
         """The kept segments behind one another, a zero after each; ``to`` is
         where a segment goes, or less than 0."""
@@ -209,41 +240,70 @@ class Shard:
 
     def repeats(self) -> Iterator[np.ndarray]:
         """Rows (doc_id, text_hash, from, to) of bytes to remove; parts of one
-        stretch may come as several rows that touch or overlap."""
-        key, doc, hash_, start, size = self._columns()
-        keep = self._several(key, doc)
-        first, to = self.scratch.array(self.count, np.int64), self.scratch.array(self.count, np.int64)
-        kept, at, total = Queue(self.scratch, np.int64), 0, 0
-        for i in range(0, self.count, ROWS):
-            n, k = size[i : i + ROWS], keep[i : i + ROWS]
-            first[i : i + ROWS] = at + np.cumsum(n) - n
-            room = np.where(k, n + 1, 0)
-            to[i : i + ROWS] = np.where(k, total + np.cumsum(room) - room, -1)
-            at, total = at + int(n.sum()), total + int(room.sum())
-            kept.put(i + np.flatnonzero(k))
+        stretch may come as several rows that touch or overlap.
+
+        Equal stretches are aggregated before they are sorted: the smallest
+        document's stands for all, and those of larger ones are removed.
+        """
+        key, doc, hash_, start, size, a, b = self._columns()
+        m, keep = self.count, self._several(key, doc)
+        of = self._groups(a, b, keep=keep)
+        least = self._least(of, doc, keep)
+        first, at = self.scratch.array(m, np.int64), 0
+        owned = self.scratch.array(m, bool)  # segments of their content's smallest document
+        for i in range(0, m, ROWS):
+            j = np.arange(i, min(i + ROWS, m))
+            first[i : i + ROWS] = at + np.cumsum(size[j]) - size[j]
+            at += int(size[j].sum())
+            j = j[keep[j]]
+            later = doc[j] > least[of[j]]
+            owned[j[~later]] = True
+            j = j[later]
+            if len(j):
+                yield np.column_stack([doc[j], hash_[j], start[j], start[j] + size[j]])
+        sole = self._least(of, np.arange(m), owned)  # the one segment of a content that is sorted
+        to, total = self.scratch.array(m, np.int64), 0
+        sorted_, others = Queue(self.scratch, np.int64), Queue(self.scratch, np.int64, np.int64)
+        for i in range(0, m, ROWS):
+            j = np.arange(i, min(i + ROWS, m))
+            one = owned[j] & (sole[of[j]] == j)
+            room = np.where(one, size[j] + 1, 0)
+            to[j] = np.where(one, total + np.cumsum(room) - room, -1)
+            total += int(room.sum())
+            sorted_.put(j[one])
+            more = j[owned[j] & ~one]  # the same document has it again
+            others.put(sole[of[more]], more)
         if not total:
             return
         padded = self._text(first, size, to, total)
-        which, at = self.scratch.array(kept.size, np.int64), 0
-        for (block,) in kept.blocks():
-            which[at : at + len(block)] = block
-            at += len(block)
-        begins = self.scratch.array(len(which), np.int64)
-        for i in range(0, len(which), ROWS):
-            begins[i : i + ROWS] = to[which[i : i + ROWS]]
-        hit = self._hits(padded, total, which, begins, size, doc)
+        # each position's segment
+        holder = self.scratch.array(total, np.int32 if m < 1 << 31 else np.int64)
+        for (j,) in sorted_.blocks():
+            lo, hi = int(to[j[0]]), int(to[j[-1]] + size[j[-1]] + 1)
+            holder[lo:hi] = np.repeat(j, size[j] + 1)
+        hit = self._hits(padded, total, holder, to, size, doc)
+        again = [self.scratch.array(others.size, np.int64) for _ in range(2)]
+        at = 0
+        for block in sorted_blocks(self.scratch, others.blocks(), 2):
+            for column, values in zip(again, block, strict=True):
+                column[at : at + len(values)] = values
+            at += len(block[0])
         for lo in range(0, total, ROWS):
             windows = lo + np.flatnonzero(hit[lo : lo + ROWS])
             if not len(windows):
                 continue
-            own = np.searchsorted(begins, windows, "right") - 1
+            own = holder[windows]
             new = np.concatenate([[True], (windows[1:] > windows[:-1] + self.length) | (own[1:] != own[:-1])])
             last = np.concatenate([new[1:], [True]])
-            j = which[own[new]]
-            by = start[j] - to[j]
-            yield np.column_stack([doc[j], hash_[j], windows[new] + by, windows[last] + self.length + by])
-
-    def _hits(self, padded, total, which, begins, size, doc) -> np.ndarray:
+            j, x, y = own[new], windows[new] - to[own[new]], windows[last] + self.length - to[own[new]]
+            yield np.column_stack([doc[j], hash_[j], start[j] + x, start[j] + y])
+            n_lo, n_hi = np.searchsorted(again[0], j, "left"), np.searchsorted(again[0], j, "right")
+            n = n_hi - n_lo
+            if n.any():
+                i = again[1][np.repeat(n_lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                yield np.column_stack([doc[i], hash_[i], start[i] + np.repeat(x, n), start[i] + np.repeat(y, n)])
+
+    def _hits(self, padded, total, holder, to, size, doc) -> np.ndarray:
         """Where a window begins that a smaller document's text has: suffixes in
         order that share a window's length with the one before are one run."""
         hit, none = self.scratch.array(total, bool), np.iinfo(np.int64).max
@@ -254,12 +314,15 @@ class Shard:
                 hit[at[own > least]] = True
 
         for at, lcp in suffix_order(padded, total, self.length, self.scratch):
-            at = at.astype(np.int64)
-            seg = np.searchsorted(begins, at, "right") - 1
-            j = which[seg]
-            whole = at + self.length <= begins[seg] + size[j]
+            new = lcp < self.length
+            shared = ~(new & np.append(new[1:], False))  # not a run of its own, as far as is known
+            at, new = at[shared].astype(np.int64), new[shared]
+            if not len(at):
+                continue
+            j = holder[at]
+            whole = at + self.length <= to[j] + size[j]
             own = np.where(whole, doc[j], none)
-            starts = np.flatnonzero(lcp < self.length)
+            starts = np.flatnonzero(new)
             if not len(starts) or starts[0]:  # the open run goes on
                 n = int(starts[0]) if len(starts) else len(at)
                 open_.put(at[:n][whole[:n]], own[:n][whole[:n]])
@@ -337,7 +400,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Every window of ``length`` bytes is keyed by the least hash of the strings
     of GRAM bytes in it, and stretches of windows of one key are dealt to shards
     by it, so equal windows of all documents meet.  A shard leaves out keys that
-    one document has and sorts the suffixes of all other stretches by recursive
+    one document has, aggregates equal stretches (told by 128-bit hashes; larger
+    documents lose them) and sorts the suffixes of all others by recursive
     induction (see :mod:`induced`), which carries common prefixes along, with
     ``memory`` bytes of queues and sort runs and all else on disk.  Runs of
     suffixes that share ``length`` bytes give the windows that a smaller document
