@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    norm = lambda df: df[sorted(df.columns)].astype(str).replace("<NA>", "None").sort_values(sorted(df.columns)).reset_index(drop=True)
+    norm = lambda df: df[sorted(df.columns)].astype(str).replace({"<NA>": "None", "nan": "None"}).sort_values(sorted(df.columns)).reset_index(drop=True)
     assert norm(registry.QUERIES[name](spark, DATA).toPandas()).equals(norm(con.sql(registry.ORACLES[name]).df()))
 
 
