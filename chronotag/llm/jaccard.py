@@ -28,6 +28,9 @@ BROADCAST_IDS = 1_000_000
 CACHED_WORDS = 500_000
 #: Bits of a set's parity map, in words of 64.
 MAP_WORDS = 8
+#: Candidates that a token's group writes as pairs, for each of its rows; a denser
+#: group's classes are compared with their sets at hand, in blocks of so many tokens.
+PAIRS_A_ROW, BLOCK_TOKENS = 4, 1 << 19
 _SPACE = re.compile(rb"[ \t-\r]")
 _SEGMENT = 1 << 22
 
@@ -274,9 +277,31 @@ def _promising(postings: DataFrame, rule: Rule) -> DataFrame:
     return met.groupBy("c").agg(F.max(F.struct("s", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
 
 
+class _Forest:
+    """Rows of a group, with a label for each part that is connected."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        self.labels = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Connect row i with the rows j; of these, one of each part that was
+        not connected with i."""
+        parts, first = np.unique(self.labels[j], return_index=True)
+        new = parts != self.labels[i]
+        if new.any():
+            self.labels[np.isin(self.labels, parts[new])] = self.labels[i]
+        return j[first[new]]
+
+
 def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of classes that share a token, could link by size and parity
-    map, and are not known to be connected.
+    map, and are not known to be connected: (a, b, m).
+
+    A group with more of them than PAIRS_A_ROW for each posting would write as
+    many as the square of its size.  It writes pairs of components without m
+    instead, fewer than rows, that connect the components of every such pair:
+    both lie in one family, within which `_within` compares all classes.  A
+    pair's count of shared tokens matters only if none of them is such a group's.
 
     postings is (token, c, n, m, comp, map, block, blocks).  Every two blocks of a
     hot token meet in a group of their own, and so does each block with itself,
@@ -285,14 +310,15 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _runs(batches, "g"):
-            token, comp, n, c, m, block, two = (x[k] for k in ("g", "comp", "n", "c", "m", "block", "two"))
+            token, comp, n, c, m, block, blocks, two = (x[k] for k in ("g", "comp", "n", "c", "m", "block", "blocks", "two"))
             n = n.astype(np.int64)
             maps = np.frombuffer(b"".join(x["map"]), np.uint64).reshape(len(token), MAP_WORDS)
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-            out = []
+            out, waiting = [], 0
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
                     continue
+                mine, found, family = [], 0, None
                 for i in range(lo, hi - 1):  # rows are sorted by n, so partners are a stretch
                     to = i + 1 + int(np.searchsorted(n[i + 1 : hi] * rule.num, n[i] * rule.den, "right"))
                     apart = comp[i + 1 : to] != comp[i]
@@ -301,21 +327,30 @@ def _crossing(postings: DataFrame, rule: Rule) -> DataFrame:
                     j = np.flatnonzero(apart) + i + 1
                     apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
                     j = j[apart <= rule.most_apart(n[j], int(n[i]))]
+                    if family:
+                        j = family.join(i - lo, j - lo) + lo
                     if len(j):
-                        out.append((np.full(len(j), i), j))
-                if sum(len(o[0]) for o in out) > 100_000:
-                    yield _pairs(out, c, m)
-                    out = []
+                        mine.append((i, j))
+                        found += len(j)
+                    if not family and found * blocks[i] > PAIRS_A_ROW * (hi - lo):
+                        family = _Forest(comp[lo:hi])
+                        mine = [(i, family.join(i - lo, j - lo) + lo) for i, j in mine]
+                out += [(np.full(len(j), i), j, np.full(len(j), bool(family))) for i, j in mine]
+                waiting += sum(len(j) for _, j in mine)
+                if waiting > 100_000:
+                    yield _pairs(out, c, m, comp)
+                    out, waiting = [], 0
             if out:
-                yield _pairs(out, c, m)
+                yield _pairs(out, c, m, comp)
 
-    def _pairs(out, c, m) -> pa.RecordBatch:
-        i, j = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(np.minimum(m[i], m[j]))], names=["a", "b", "m"])
+    def _pairs(out, c, m, comp) -> pa.RecordBatch:
+        i, j, dense = (np.concatenate(v) for v in zip(*out, strict=True))
+        x, y = (np.where(dense, comp[k], c[k]) for k in (i, j))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.minimum(m[i], m[j]), mask=dense)], names=["a", "b", "m"])
 
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = postings.withColumn("other", F.explode(others)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    met = met.select(_group("lo", "hi").alias("g"), "c", "n", "m", "comp", "map", "block", (F.col("lo") != F.col("hi")).alias("two"))
+    met = met.select(_group("lo", "hi").alias("g"), "c", "n", "m", "comp", "map", "block", "blocks", (F.col("lo") != F.col("hi")).alias("two"))
     dealt = met.repartition("g").sortWithinPartitions("g", "n", "c")
     return dealt.mapInArrow(run, "a long, b long, m int")
 
@@ -337,6 +372,64 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _within(sets: DataFrame, families: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that connect what links connect within each family; sets is
+    (c, tokens), families (c, comp, family), comp the component so far.
+
+    Every class is held against all others of its family that size and parity
+    map do not rule out, and that are not connected with it yet.  A group writes
+    only links that connect something, so fewer than it has rows.  A family of
+    many tokens has blocks, every two of which meet in a group of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _runs(batches, "g"):
+            edges = np.flatnonzero(np.concatenate([[True], x["g"][1:] != x["g"][:-1], [True]]))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                out = list(_compare(*(x[k][lo:hi] for k in ("comp", "tokens", "block", "two"))))
+                if out:
+                    i, j = (np.concatenate(v) + lo for v in zip(*out, strict=True))
+                    c = x["c"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["a", "b"])
+
+    def _compare(comp, tokens, block, two) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = [np.frombuffer(t, np.uint64) for t in tokens]
+        maps = np.frombuffer(b"".join(map(_parity_map, own)), np.uint64).reshape(len(own), MAP_WORDS)
+        n = np.array([len(t) for t in own], np.int64)
+        start = np.cumsum(n) - n
+        ids = np.unique(np.concatenate(own), return_inverse=True)[1]
+        has = np.zeros(ids.max() + 1, np.int64)
+        forest = _Forest(comp)
+        for i in range(len(n) - 1):  # sorted by n
+            to = i + 1 + int(np.searchsorted(n[i + 1 :] * rule.num, n[i] * rule.den, "right"))
+            apart = forest.labels[i + 1 : to] != forest.labels[i]
+            if two[i]:
+                apart &= block[i + 1 : to] != block[i]
+            j = np.flatnonzero(apart) + i + 1
+            j = j[np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64) <= rule.most_apart(n[j], int(n[i]))]
+            if not len(j):
+                continue
+            mine = ids[start[i] : start[i] + n[i]]
+            has[mine] = 1
+            first = np.cumsum(n[j]) - n[j]
+            both = np.add.reduceat(has[ids[np.repeat(start[j] - first, n[j]) + np.arange(n[j].sum())]], first)
+            has[mine] = 0
+            j = forest.join(i, j[rule.den * both >= rule.num * (n[i] + n[j] - both)])
+            if len(j):
+                yield np.full(len(j), i), j
+
+    rows = staged(sets.join(families, "c").withColumn("n", (F.length("tokens") / 8).cast("long")), "jaccard-dealt")
+    large = rows.groupBy("family").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_TOKENS)  # as many as fill a block
+    large = large.select("family", F.ceil(F.col("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    met = rows.join(F.broadcast(large), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    met = met.select(F.when(F.col("blocks") == 1, F.col("family")).otherwise(F.xxhash64("family", "lo", "hi")).alias("g"), "c", "n", "comp", "block", (F.col("lo") != F.col("hi")).alias("two"), "tokens")
+    out = staged(met.repartition("g").sortWithinPartitions("g", "n", "c").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(rows)
+    return out
+
+
 def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(c, tokens) of the wanted classes, from one document of each."""
     one = staged(members.join(wanted.distinct(), "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "jaccard-wanted")
@@ -392,7 +485,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
        comparisons a member.
     4. Pairs that still lie in different components, share enough prefix tokens
        for either side's prefix, and are not ruled out by size or by a small map
-       of both sets, are all verified.
+       of both sets, are all verified: one by one, or, where a token's classes
+       have many of them, within the family of such classes, each of whose sets
+       is read once for a block of it and whose links are contracted at once.
 
     Nothing is capped: step 4 alone would find every connection, step 3 only
     spares it pairs whose documents are known to be connected.  Repeated rows
@@ -429,11 +524,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
         known = components(links, "jaccard-known")
         posted = postings.join(known, F.col("c") == F.col("node"), "left").select("token", "c", "n", "m", "w", "block", "blocks", F.coalesce("component", "c").alias("comp"))
 
-    pairs = _crossing(posted.join(maps.select("c", "map"), "c"), rule)
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("s"), F.first("m").alias("m")).where(F.col("s") >= F.col("m")).select("a", "b")
+    met = staged(_crossing(posted.join(maps.select("c", "map"), "c"), rule), "jaccard-met")
+    pairs = met.where("m IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("s"), F.first("m").alias("m")).where(F.col("s") >= F.col("m")).select("a", "b")
     pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = verified(pairs)
-    discard(postings, pairs, maps)
+    dense = met.where("m IS NULL").select("a", "b")
+    if dense.limit(1).count():
+        families = components(dense, "jaccard-dense").select(F.col("node").alias("comp"), F.col("component").alias("family"))
+        families = staged(join_hot(posted.select("c", "comp").distinct(), families, "comp", "inner", "jaccard-dense"), "jaccard-families")
+        sets = staged(_sets(own, members, families.select("c"), rule), "jaccard-sets")
+        more = more.union(_within(sets, families, rule))
+        discard(families, sets)
+    discard(postings, met, pairs, maps)
     # every found link, and every class as it was contracted
     joined = components(more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-components")
 

@@ -279,6 +279,50 @@ def test_jaccard_components(spark, edges, none, prose, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
 
 
+def test_jaccard_writes_no_square_of_near_copies(spark, prose, monkeypatch):
+    """A group of near copies about as far apart as links reach: its candidates
+    are not written out one by one, and its sets are compared in blocks."""
+    import numpy as np
+
+    rng, rule = random.Random(4), jaccard.Rule()
+    base = prose(150, 77).split()
+    places = rng.sample(range(len(base)), 14)
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for p in rng.sample(places, rng.randint(2, 4)):
+            words[p] = rng.choice(["changed", "other"])
+        rows.append((i, " ".join(words)))
+    sets = {jaccard._class_of(s): s for s in (jaccard.shingle_set(t, rule.k) for _, t in rows)}
+    counts = sum(np.bincount((s & np.uint64(jaccard.SKETCH - 1)).astype(np.int64), minlength=jaccard.SKETCH) for s in sets.values())
+    posts = []
+    for c, s in sets.items():
+        prefix, m, _ = jaccard._prefix(s, counts.astype(np.uint32), 0, rule)
+        posts += [(t, c, len(s), m, c, jaccard._parity_map(s), 0, 1) for t in prefix.view(np.int64).tolist()]
+    posted = spark.createDataFrame(posts, "token long, c long, n int, m int, comp long, map binary, block int, blocks int")
+    met = jaccard._crossing(posted, rule).collect()
+    assert len(met) <= 4 * len(posts)
+
+    def reached(links):
+        least = {c: c for c in sets}
+        while any(least[a] != least[b] for a, b in links):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    linked = lambda a, b: rule.den * (both := len(np.intersect1d(sets[a], sets[b]))) >= rule.num * (len(sets[a]) + len(sets[b]) - both)
+    want = reached([(a, b) for a in sets for b in sets if a < b and linked(a, b)])
+    family = reached([(r.a, r.b) for r in met if r.m is None])
+    assert len(set(family.values())) < len(set(want.values())) < len(sets) / 2
+    families = spark.createDataFrame([(c, c, f) for c, f in family.items()], "c long, comp long, family long")
+    stored = spark.createDataFrame([(c, s.tobytes()) for c, s in sets.items()], "c long, tokens binary")
+    for size in (1 << 19, 9_000):
+        monkeypatch.setattr(jaccard, "BLOCK_TOKENS", size)
+        links = [tuple(r) for r in jaccard._within(stored, families, rule).collect()]
+        assert all(linked(a, b) for a, b in links)
+        assert reached(links + [(r.a, r.b) for r in met if r.m is not None and linked(r.a, r.b)]) == want
+
+
 def test_longer_prefixes_ask_for_more_matches():
     import numpy as np
 
